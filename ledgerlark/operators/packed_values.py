@@ -62,7 +62,9 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None, pull:
     long = long.withColumn("size", F.size("pieces"))
     # Type regularity: pieces grouped by shape first, so the look-up meets each shape once.
     pieces = long.select("source", "delimiter", "n", F.explode("pieces").alias("piece"))
-    pieces = pieces.groupBy("source", "delimiter", _shape(F.regexp_replace("piece", r"^\s*\d{1,3}\)\s+", "")).alias("shape")).agg(F.sum("n").alias("n"))
+    pieces = pieces.groupBy("source", "delimiter", _shape(F.regexp_replace("piece", r"^[\s;,|]*(?:\d{1,3}\)\s+)?|[\s;,|]+$", "")).alias("shape")).agg(F.sum("n").alias("n"))
+    # A piece that other delimiters would cut further says nothing about this one.
+    pieces = pieces.where(F.col("shape").rlike('^"') | ~F.col("shape").rlike(any_of))
     quoted = F.col("shape").rlike(r'(?s)^"(?:[^"]|"")*"$')
     types = pieces.join(known, "shape", "left").groupBy("source", "delimiter").agg(F.sum(F.when(quoted | F.col("known").isNotNull(), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("pieces"))
     # Count consistency: chance that two rows have numbers of pieces that differ by one at most.
@@ -95,7 +97,7 @@ def split_pieces(text: Column, delimiters: Column | list[str]) -> Column:
     return F.filter(F.transform(F.transform(pieces, trim), bare), lambda p: p != "")
 
 
-def split_packed(df: DataFrame, text: str, keys: list[str], source: str | None = None, threshold: float = 0.5, least: int = 2) -> DataFrame:
+def split_packed(df: DataFrame, text: str, keys: list[str], source: str | None = None, threshold: float = 0.7, least: int = 2) -> DataFrame:
     """Rows (*keys, pos, note): the pieces of every text that holds at least ``least``, with their position from 1."""
     scores = delimiter_scores(df, text, source).where(F.col("score") >= threshold)
     chosen = scores.groupBy("source").agg(F.array_sort(F.collect_set("delimiter")).alias("d"))  # at most one name per candidate
