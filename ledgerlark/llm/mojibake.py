@@ -65,7 +65,7 @@ class GarbleModel:
         return max(self.log.get(c, math.log(UNSEEN)), math.log(UNSEEN_LETTER if c.isalpha() else UNSEEN))
 
     def _restored(self, c: str) -> float:
-        return max(self.log.get(c, math.log(UNSEEN)), math.log(UNSEEN_LATIN if "\u00c0" <= c <= "\u017f" else UNSEEN))
+        return max(self.log.get(c, math.log(UNSEEN)), math.log(UNSEEN_LATIN if "\u00a1" <= c <= "\u017f" else UNSEEN))
 
     def label(self, run: str) -> list[tuple[int, int, str]]:
         """Viterbi: garbled spans (from, to, state) of a run of non-ASCII characters."""
