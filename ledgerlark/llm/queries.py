@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlark.llm.components import components
+from ledgerlark.llm.labels import map_tables
 from ledgerlark.llm.leaks import find_leaks
+from ledgerlark.llm.matching import match, records
 from ledgerlark.llm.mojibake import find_garbled
 from ledgerlark.llm.tokens import encode_corpus
 from ledgerlark.runtime import table
@@ -31,6 +33,22 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = records("claim", table(spark, sf_dir, "federal_register_claims"), "id", "allottee_name", "tribe_identified", "state", "allotment_number")
+    patents = records("patent", table(spark, sf_dir, "rails_patents"), "id", "full_name", "glo_tribe_name", "state", "indian_allotment_number")
+    return match(claims, patents, "claim", "patent").withColumnsRenamed({"left_id": "claim_id", "right_id": "patent_id"})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("claim_id", "patent_id").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crosswalk, circular = table(spark, sf_dir, "tribe_crosswalk"), table(spark, sf_dir, "circular_2464_records")
+    tables = [("tribe_crosswalk.glo_name", crosswalk, "id", "glo_name"), ("tribe_crosswalk.authoritative_tribe", crosswalk, "id", "authoritative_tribe"), ("circular_2464_records.tribe_reservation", circular, "id", "tribe_reservation")]
+    return map_tables(tables, table(spark, sf_dir, "tribe_reference"))
+
+
+QUERIES = {"p5_found": p5_found, "p2_found": p2_found, "p2_matches": p2_matches, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 ORACLES: dict[str, str] = {}
