@@ -46,6 +46,10 @@ def parsed(all_records: DataFrame) -> DataFrame:
     return names.where("state IS NOT NULL OR tribe IS NULL").unionByName(lacking)
 
 
+def _name_code() -> Column:
+    return F.xxhash64("surname", "given", "suffix")
+
+
 def _conflict(a: str, b: str) -> Column:
     """Whether two groups have numbers of which neither the smallest nor the largest agree."""
     return F.coalesce((F.col(f"{a}lo") != F.col(f"{b}lo")) & (F.col(f"{a}hi") != F.col(f"{b}hi")), F.lit(False))
@@ -60,48 +64,15 @@ def _led(groups: DataFrame, key: Column, most: int) -> DataFrame:
     return led.where((F.col("g") != F.col("l_g")) & (F.levenshtein("surname", "l_surname", most) >= 0))
 
 
-def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records (src, id, person, rule), and (rule, labelled, agreeing, precision) of every rule."""
-    base = Kept(parsed(all_records)).df
-    full = base.where("given != ''")
-    name_key = F.xxhash64("surname", "given", "suffix")
-    groups = full.groupBy(name_key.alias("g"), "surname", "given", "suffix").agg(
+def group_names(base: DataFrame) -> DataFrame:
+    """Groups ``g`` of parsed records with the same surname, given name and suffix."""
+    return base.where("given != ''").groupBy(_name_code().alias("g"), "surname", "given", "suffix").agg(
         F.count("*").alias("n"), F.min("allotment").alias("lo"), F.max("allotment").alias("hi"), F.count("allotment").alias("numbers"), F.max("middle").alias("middle"), F.mode("state").alias("state"),
     )
-    groups = Kept(groups).df
-    text = lambda *c: F.concat_ws("|", *c)
-    long = F.length("surname") >= 7
-    rules = [
-        # (rule, key, edits, labelled by)
-        ("number", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.coalesce("state", F.lit("")))), 3, "middle"),
-        ("number_front", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", 1, 3))), 2, "middle"),
-        ("number_back", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", -3, 3))), 2, "middle"),
-        ("front", F.when(long, text(F.substring("surname", 1, 5), "given", "suffix", F.coalesce("state", F.lit("")))), 2, "number"),
-        ("back", F.when(long, text(F.substring("surname", -5, 5), "given", "suffix", F.coalesce("state", F.lit("")))), 2, "number"),
-    ]
-    open_, links = groups, None
-    for rule, key, most, label in rules:
-        found = _led(open_, key, most)
-        both_middle = (F.col("middle") != "") & (F.col("l_middle") != "")
-        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~_conflict("", "l_"))
-        by_front, by_back = (F.substring("surname", *part) == F.substring("l_surname", *part) for part in ((1, 5), (-5, 5)))
-        by_edits = F.levenshtein("surname", "l_surname", 2) >= 0
-        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), known.alias("known"), agree.alias("agree"), (by_front & by_edits).alias("by_front"), (by_back & by_edits).alias("by_back"))).df
-        links = found if links is None else links.unionByName(found)
-        if rule != "back":
-            taken = found.where("agree OR NOT known").select("g")
-            open_ = Kept(open_.join(taken, "g", "left_anti")).df
-    linked = links.where("agree OR NOT known").select("g", "parent", "rule")
-    # A leader may itself have been led by a later rule: follow the links to their end.
-    up = linked.select(F.col("g").alias("parent"), F.col("parent").alias("above"))
-    for _ in range(len(rules) - 1):
-        linked = linked.join(up, "parent", "left").select("g", F.coalesce("above", "parent").alias("parent"), "rule")
-    top = Kept(linked).df
-    people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "lo", "hi", "middle", "state")
-    people = Kept(people).df
-    done = full.select("src", "id", name_key.alias("g")).join(people.select("g", "person", "rule"), "g").select("src", "id", "person", "rule")
 
-    # Records with an initial only: unique people under weaker and weaker keys.
+
+def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with an initial only: the one person under weaker and weaker keys. Links (src, id, person, rule) and labels (rule, known, agree)."""
     initials = base.where("given = '' AND initial != ''").select("src", "id", "surname", "initial", "middle", "suffix", "allotment", "state")
     heads = people.withColumn("initial", F.substring("given", 1, 1))
 
@@ -134,11 +105,59 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = found.where("agree OR NOT known").join(left.select("src", "id"), ["src", "id"], "left_semi")
         weak_links = found if weak_links is None else weak_links.unionByName(found)
         left = Kept(left.join(found.select("src", "id"), ["src", "id"], "left_anti")).df
-    done = done.unionByName(weak_links.select("src", "id", "person", "rule"))
+    done = weak_links.select("src", "id", "person", "rule")
     # Initials nobody was found for still match each other under one spelling and number.
     alone = left.where("allotment IS NOT NULL")
     done = done.unionByName(alone.select("src", "id", F.xxhash64("surname", "initial", "suffix", "allotment").alias("person"), F.lit("initial_number").alias("rule")))
 
+    return done, labels
+
+
+def attach_initials(base: DataFrame, people: DataFrame) -> DataFrame:
+    """Records (src, id, person) of all parsed records, given the person of each group of names."""
+    done = base.where("given != ''").select("src", "id", _name_code().alias("g")).join(people.select("g", "person"), "g").select("src", "id", "person")
+    return done.unionByName(link_initials(base, people)[0].select("src", "id", "person"))
+
+
+def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records (src, id, person, rule), and (rule, labelled, agreeing, precision) of every rule."""
+    base = Kept(parsed(all_records)).df
+    full = base.where("given != ''")
+    groups = Kept(group_names(base)).df
+    text = lambda *c: F.concat_ws("|", *c)
+    long = F.length("surname") >= 7
+    rules = [
+        # (rule, key, edits, labelled by)
+        ("number", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.coalesce("state", F.lit("")))), 3, "middle"),
+        ("number_front", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", 1, 3))), 2, "middle"),
+        ("number_back", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", -3, 3))), 2, "middle"),
+        ("front", F.when(long, text(F.substring("surname", 1, 5), "given", "suffix", F.coalesce("state", F.lit("")))), 2, "number"),
+        ("back", F.when(long, text(F.substring("surname", -5, 5), "given", "suffix", F.coalesce("state", F.lit("")))), 2, "number"),
+    ]
+    open_, links = groups, None
+    for rule, key, most, label in rules:
+        found = _led(open_, key, most)
+        both_middle = (F.col("middle") != "") & (F.col("l_middle") != "")
+        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~_conflict("", "l_"))
+        by_front, by_back = (F.substring("surname", *part) == F.substring("l_surname", *part) for part in ((1, 5), (-5, 5)))
+        by_edits = F.levenshtein("surname", "l_surname", 2) >= 0
+        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), known.alias("known"), agree.alias("agree"), (by_front & by_edits).alias("by_front"), (by_back & by_edits).alias("by_back"))).df
+        links = found if links is None else links.unionByName(found)
+        if rule != "back":
+            taken = found.where("agree OR NOT known").select("g")
+            open_ = Kept(open_.join(taken, "g", "left_anti")).df
+    linked = links.where("agree OR NOT known").select("g", "parent", "rule")
+    # A leader may itself have been led by a later rule: follow the links to their end.
+    up = linked.select(F.col("g").alias("parent"), F.col("parent").alias("above"))
+    for _ in range(len(rules) - 1):
+        linked = linked.join(up, "parent", "left").select("g", F.coalesce("above", "parent").alias("parent"), "rule")
+    top = Kept(linked).df
+    people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "lo", "hi", "middle", "state")
+    people = Kept(people).df
+    done = full.select("src", "id", _name_code().alias("g")).join(people.select("g", "person", "rule"), "g").select("src", "id", "person", "rule")
+
+    weak, labels = link_initials(base, people)
+    done = done.unionByName(weak)
     # What the rules on the number took before them would have been found, rightly, by the rules on the name.
     right = [links.where(f"rule LIKE 'number%' AND by_{r}").select(F.lit(r).alias("rule"), F.lit(True).alias("known"), F.lit(True).alias("agree")) for r in ("front", "back")]
     labels = links.select("rule", "known", "agree").unionByName(labels).unionByName(right[0]).unionByName(right[1])

@@ -77,6 +77,7 @@ class NameParser:
         self.known = {**{s: f for s, f in _SHORT.items()}, **{f: f for f in SHORT_FORMS}}
         self.known.update({g: self.known.get(g, g) for g in self.given})
         # Known names by what is left of them after up to two deletions, to look misspelt tokens up.
+        self.targets = frozenset(self.known.values())
         self.cut: dict[str, set[str]] = {}
         for name in self.known:
             for c in _cuts(name, 2 if len(name) > 4 else 1):
@@ -148,8 +149,9 @@ class NameParser:
         """Surname and given tokens of a name without a comma."""
         last = next((i for i in range(len(t) - 1, -1, -1) if len(t[i]) > 1), 0)  # before trailing initials
         tail = len(t) - 1 - last
+        misspelt = len(t[0]) > 4 and bool(self.near(t[0]))
         if not self.exact(t[0]):
-            if last and tail <= 1 and self.exact(t[last]):
+            if last and tail <= 1 and self.exact(t[last]) and not (misspelt and t[last] not in self.targets):
                 return "".join(t[:last]), t[last:]
             if len(t[0]) > 1:
                 if tail and len(t) > tail:
@@ -203,6 +205,7 @@ def parse_names(df: DataFrame, column: str, given: list[str]) -> DataFrame:
 
 def number(allotment: Column) -> Column:
     """The first number of a typed allotment number, without leading zeros; letters for digits beside digits are read as such."""
-    digits = F.regexp_replace(F.upper(allotment), "(?<=[0-9])[IL]|[IL](?=[0-9])", "1")
+    digits = F.regexp_replace(F.upper(allotment), "(?<![A-HJKM-Z])O(?=[0-9])", "0")
+    digits = F.regexp_replace(digits, "(?<=[0-9])[IL]|[IL](?=[0-9])", "1")
     digits = F.regexp_replace(F.regexp_replace(digits, "(?<=[0-9])O", "0"), "(?<=[0-9])[IL]", "1")
     return F.nullif(F.regexp_extract(digits, r"0*([1-9][0-9]*)", 1), F.lit(""))

@@ -10,7 +10,8 @@ from ledgerlark.llm.leaks import find_leaks
 from ledgerlark.llm.matching import match, records
 from ledgerlark.llm.mojibake import find_garbled
 from ledgerlark.llm.tokens import encode_corpus
-from ledgerlark.runtime import table
+from ledgerlark.llm.variants import person_variants, spelling_pairs, tribe_variants
+from ledgerlark.runtime import Kept, table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,23 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"))
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rails = records("patent", table(spark, sf_dir, "rails_patents"), "id", "full_name", "glo_tribe_name", "state", "indian_allotment_number")
+    people = person_variants(rails).select(F.lit("rails_patents.full_name").alias("src"), "id", "entity", "name")
+    tribes = tribe_variants(table(spark, sf_dir, "tribe_crosswalk"), "id", "glo_name").select(F.lit("tribe_crosswalk.glo_name").alias("src"), "id", "entity", "name")
+    return people.unionByName(tribes)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = p1_entities(spark, sf_dir).select("src", "id", F.xxhash64("src", "entity").alias("entity"), "name")
+    both = Kept(entities).df
+    out = None
+    for src in ("rails_patents.full_name", "tribe_crosswalk.glo_name"):
+        one = spelling_pairs(both.where(F.col("src") == src)).select(F.lit(src).alias("src"), "id_a", "id_b")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = records("claim", table(spark, sf_dir, "federal_register_claims"), "id", "allottee_name", "tribe_identified", "state", "allotment_number")
     patents = records("patent", table(spark, sf_dir, "rails_patents"), "id", "full_name", "glo_tribe_name", "state", "indian_allotment_number")
@@ -49,6 +67,6 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_tables(tables, table(spark, sf_dir, "tribe_reference"))
 
 
-QUERIES = {"p5_found": p5_found, "p2_found": p2_found, "p2_matches": p2_matches, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p5_found": p5_found, "p2_found": p2_found, "p2_matches": p2_matches, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 ORACLES: dict[str, str] = {}
