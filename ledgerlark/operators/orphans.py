@@ -33,7 +33,7 @@ def _probe(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFram
     parents = parents.sort_values("code", kind="stable")
     codes, names = parents["code"].to_numpy(), parents["key"].to_numpy(dtype=object)
     first, deleted = parents["first"].to_numpy(), parents["elsewhere"].to_numpy(dtype=bool)
-    want, name, at = refs["code"].to_numpy(), refs["key"].to_numpy(dtype=object), refs["at"].fillna(_ABSENT).to_numpy(dtype=np.int64)
+    want, name, at = refs["code"].to_numpy(), refs["key"].to_numpy(dtype=object), refs["at"].to_numpy(dtype=np.int64)
     lo, hi = np.searchsorted(codes, want, "left"), np.searchsorted(codes, want, "right")
     kind = np.full(len(refs), "missing", dtype=object)
     for step in range(int((hi - lo).max()) if len(refs) else 0):  # one step, but for 64-bit collisions
@@ -60,7 +60,7 @@ def find_orphans(references: list[tuple[str, DataFrame, str, str, str]], parents
     own = own.groupBy("key").agg(F.min("first").alias("first"), F.max("elsewhere").alias("elsewhere"))
     refs = None
     for src, df, id_, key, time in references:
-        one = df.where(F.col(key).isNotNull()).select(F.lit(src).alias("src"), F.col(id_).cast("long").alias("id"), F.col(key).cast("string").alias("key"), _micros(f"`{time}`").alias("at"), F.date_format(time, "yyyy-MM").alias("month"))
+        one = df.where(F.col(key).isNotNull()).select(F.lit(src).alias("src"), F.col(id_).cast("long").alias("id"), F.col(key).cast("string").alias("key"), F.coalesce(_micros(f"`{time}`"), F.lit(_ABSENT)).alias("at"), F.date_format(time, "yyyy-MM").alias("month"))
         refs = one if refs is None else refs.unionByName(one)
     # Only parents that a reference can name matter to the arrays; the rest stays out of the Python side.
     refs = refs.withColumn("code", F.xxhash64("key"))
