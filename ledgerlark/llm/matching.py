@@ -38,12 +38,12 @@ def records(src: str, df: DataFrame, id_: str, name: str, tribe: str, state: str
 
 def parsed(all_records: DataFrame) -> DataFrame:
     """Records with their name's parts; a null state is taken from the state most common with the record's tribe label."""
-    of_tribe = all_records.where("tribe IS NOT NULL AND state IS NOT NULL").groupBy("tribe", "state").agg(F.count("*").alias("n"))
+    rows = Kept(all_records).df  # read three times below; the names are taken apart once
+    of_tribe = rows.where("tribe IS NOT NULL AND state IS NOT NULL").groupBy("tribe", "state").agg(F.count("*").alias("n"))
     of_tribe = of_tribe.groupBy("tribe").agg(F.max_by("state", F.struct("n", "state")).alias("tribe_state"))
-    given = given_names(all_records.select("name"))
-    names = parse_names(all_records, "name", given)
-    lacking = names.where("state IS NULL AND tribe IS NOT NULL").join(small(of_tribe), "tribe", "left").withColumn("state", F.col("tribe_state")).drop("tribe_state")
-    return names.where("state IS NOT NULL OR tribe IS NULL").unionByName(lacking)
+    given = given_names(rows.select("name"))
+    filled = rows.join(small(Kept(of_tribe).df), "tribe", "left").withColumn("state", F.coalesce("state", "tribe_state")).drop("tribe_state")
+    return parse_names(filled, "name", given)
 
 
 def _name_code() -> Column:
