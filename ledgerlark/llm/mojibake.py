@@ -6,7 +6,8 @@ due, so that its spans are whole UTF-8 sequences. In the clean state a character
 among the corpus's characters that can't be part of a garbled sequence (those with no non-ASCII neighbour,
 counted over all documents); in a pair's state a sequence has the probability of the character it restores
 to. ASCII characters are clean under every pair, so the best path falls apart at them exactly: runs of other
-characters are decoded one by one, and equal runs once. Text garbled repeatedly is restored by repetition.
+characters are decoded one by one, and equal runs once. Text garbled repeatedly is restored by repetition; where both times by a Cyrillic
+encoding, it is found, but what looks like Cyrillic words stays.
 
 Defined cases: null, empty and ASCII texts are not garbled; a span with U+FFFD is garbled but can't be
 restored and is left; legitimate accents, quotes, fractions and foreign letters keep their place; repeated
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 PAIRS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251")
 #: Chance of entering, and of staying in, a garbled span.
 ENTER, STAY = 0.25, 0.5
-#: Chance of a character never counted: at all; of a letter where it stands as it is; of a Latin letter as what a span restores to.
-UNSEEN, UNSEEN_LETTER, UNSEEN_LATIN = 1e-7, 1e-3, 1e-4
+#: Chance of a character never counted: at all; of a letter where it stands as it is; of a Latin letter as what a span
+#: restores to; of a sign that the span's own encoding has, as what it restores to (text garbled twice).
+UNSEEN, UNSEEN_LETTER, UNSEEN_LATIN, UNSEEN_AGAIN = 1e-7, 1e-3, 1e-4, 1e-5
 _RUN = re.compile("[^\x00-\x7f]+")
 
 
@@ -64,8 +66,8 @@ class GarbleModel:
     def _clean(self, c: str) -> float:
         return max(self.log.get(c, math.log(UNSEEN)), math.log(UNSEEN_LETTER if c.isalpha() else UNSEEN))
 
-    def _restored(self, c: str) -> float:
-        return max(self.log.get(c, math.log(UNSEEN)), math.log(UNSEEN_LATIN if "\u00a1" <= c <= "\u017f" else UNSEEN))
+    def _restored(self, c: str, pair: str) -> float:
+        return max(self.log.get(c, math.log(UNSEEN)), math.log(UNSEEN_AGAIN if c in _BYTES[pair] else UNSEEN), math.log(UNSEEN_LATIN if "\u00a1" <= c <= "\u017f" else UNSEEN))
 
     def label(self, run: str) -> list[tuple[int, int, str]]:
         """Viterbi: garbled spans (from, to, state) of a run of non-ASCII characters."""
@@ -97,7 +99,7 @@ class GarbleModel:
                         restored = bytes(raw).decode("utf-8")
                     except UnicodeDecodeError:
                         continue
-                    offer(i + due + 1, pair, score + (stay if before == pair else enter) + self._restored(restored), i, before)
+                    offer(i + due + 1, pair, score + (stay if before == pair else enter) + self._restored(restored, pair), i, before)
         spans, i = [], n
         state = max(best[n], key=lambda s: best[n][s][0])
         while i:
