@@ -99,14 +99,15 @@ def map_labels(labels: DataFrame, reference: DataFrame, column: str = "label") -
       SELECT ref_id, way, direction, k, length(way) AS len, i, substring(way, start, size) AS piece
       FROM (SELECT *, (length(way) + i) DIV (k + 1) AS size, 1 + aggregate(sequence(0, i), 0L, (s, j) -> s + if(j < i, (length(way) + j) DIV (k + 1), 0L)) AS start
             FROM (SELECT *, explode(sequence(0, k)) AS i FROM {ways}))""", ways=ways)
+    # The segments' places by the length of the labels they can occur in: few rows, whatever the list's size.
     shapes = spark.sql("""
-      SELECT DISTINCT length(way) AS len, k, i, (length(way) + i) DIV (k + 1) AS size, 1 + aggregate(sequence(0, i), 0L, (s, j) -> s + if(j < i, (length(way) + j) DIV (k + 1), 0L)) AS start
+      SELECT DISTINCT length(way) AS len, explode(sequence(length(way) - k, length(way) + k)) AS form_len, k, i, (length(way) + i) DIV (k + 1) AS size, 1 + aggregate(sequence(0, i), 0L, (s, j) -> s + if(j < i, (length(way) + j) DIV (k + 1), 0L)) AS start
       FROM (SELECT way, k, explode(sequence(0, k)) AS i FROM {ways})""", ways=ways)
     near = spark.sql("""
       WITH open AS (SELECT f.* FROM {forms} f LEFT ANTI JOIN {exact} e ON f.label = e.label),
       probes AS (
         SELECT DISTINCT o.label, o.form, o.direction, s.len, s.i, substring(o.form, p.at, s.size) AS piece
-        FROM open o JOIN {shapes} s ON length(o.form) BETWEEN s.len - s.k AND s.len + s.k
+        FROM open o JOIN {shapes} s ON length(o.form) = s.form_len AND length(o.form) >= s.size
         LATERAL VIEW explode(sequence(greatest(1L, s.start - s.k), greatest(1L, least(s.start + s.k, length(o.form) - s.size + 1)))) p AS at),
       found AS (
         SELECT DISTINCT p.label, p.form, p.direction, s.ref_id, s.way, s.k FROM probes p JOIN {segments} s ON p.len = s.len AND p.i = s.i AND p.piece = s.piece AND (p.direction = s.direction OR p.direction = '' OR s.direction = ''))
@@ -126,4 +127,4 @@ def map_tables(tables: list[tuple[str, DataFrame, str, str]], reference: DataFra
         one = df.sparkSession.sql(f"SELECT '{src}' AS src, CAST(`{id_}` AS BIGINT) AS id, `{column}` AS label FROM {{t}} WHERE trim(`{column}`) != ''", t=df)
         every = one if every is None else every.unionByName(one)
     mapped = map_labels(every, reference)
-    return every.sparkSession.sql("SELECT e.src, e.id, m.ref_id FROM {every} e JOIN {mapped} m ON e.label = m.label", every=every, mapped=mapped)
+    return every.sparkSession.sql("SELECT DISTINCT e.src, e.id, m.ref_id FROM {every} e JOIN {mapped} m ON e.label = m.label", every=every, mapped=mapped)
