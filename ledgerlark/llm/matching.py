@@ -23,15 +23,15 @@ from ledgerlark.runtime import Kept, small
 
 _GENERIC = r"\b(?:TRIBES?|BANDS?|NATION|INDIANS?|PEOPLE|ALLOTTEES?|RESERVATION|IND|TR|OF|AND|THE)\b|\(.*\)"
 
-SCHEMA = "src string, id long, name string, tribe string, state string, allotment string"
+SCHEMA = "src string, id long, name string, tribe string, state string, allotment long"
 
 
 def records(src: str, df: DataFrame, id_: str, name: str, tribe: str, state: str, allotment: str) -> DataFrame:
     """A source in the common shape (SCHEMA), with the first name of each entry and the number of the allotment."""
     c = lambda x: F.col(f"`{x}`")
     out = df.where(F.trim(c(name)) != "").select(
-        F.lit(src).alias("src"), c(id_).cast("long").alias("id"), first_named(c(name)).alias("name"), F.nullif(F.regexp_replace(F.regexp_replace(F.upper(c(tribe)), _GENERIC, ""), "[^A-Z]", ""), F.lit("")).alias("tribe"),
-        F.nullif(F.upper(F.trim(c(state))), F.lit("")).alias("state"), number(c(allotment)).alias("allotment"),
+        F.lit(src).alias("src"), c(id_).cast("long").alias("id"), first_named(c(name)).alias("name"), F.nullif(F.upper(F.trim(c(tribe))), F.lit("")).alias("tribe"),
+        F.nullif(F.upper(F.trim(c(state))), F.lit("")).alias("state"), number(c(allotment)).try_cast("bigint").alias("allotment"),
     )
     return out.where("name != ''")
 
@@ -39,13 +39,22 @@ def records(src: str, df: DataFrame, id_: str, name: str, tribe: str, state: str
 def parsed(all_records: DataFrame) -> DataFrame:
     """Records with their name's parts; a null state is taken from the state most common with the record's tribe label."""
     rows = Kept(all_records).df  # read three times below; the names are taken apart once
-    of_tribe = rows.where("tribe IS NOT NULL AND state IS NOT NULL").groupBy("tribe", "state").agg(F.count("*").alias("n"))
-    of_tribe = of_tribe.groupBy("tribe").agg(F.max_by("state", F.struct("n", "state")).alias("tribe_state"))
+    # Labels are cleaned once per spelling, not once per record.
+    spelt = Kept(rows.where("tribe IS NOT NULL AND state IS NOT NULL").groupBy("tribe", "state").agg(F.count("*").alias("n"))).df
+    clean = F.regexp_replace(F.regexp_replace("tribe", _GENERIC, ""), "[^A-Z]", "").alias("clean")
+    of_tribe = spelt.groupBy(clean, "state").agg(F.sum("n").alias("n")).groupBy("clean").agg(F.max_by("state", F.struct("n", "state")).alias("tribe_state"))
+    lacking = rows.where("state IS NULL AND tribe IS NOT NULL").select("tribe").distinct().select("tribe", clean)
+    found = Kept(lacking.join(of_tribe, "clean").select("tribe", "tribe_state")).df
     given = given_names(rows.select("name"))
-    filled = rows.join(small(Kept(of_tribe).df), "tribe", "left").withColumn("state", F.coalesce("state", "tribe_state")).drop("tribe_state")
+    filled = rows.join(small(found), "tribe", "left").withColumn("state", F.coalesce("state", "tribe_state")).drop("tribe_state", "tribe")
     return parse_names(filled, "name", given)
 
 
+def _code(column: str) -> Column:
+    """A text as a number; null stays null."""
+    return F.when(F.col(column).isNotNull(), F.xxhash64(column))
+
+
 def _name_code() -> Column:
     return F.xxhash64("surname", "given", "suffix")
 
@@ -65,26 +74,26 @@ def _led(groups: DataFrame, key: Column, most: int) -> DataFrame:
 
 
 def group_names(base: DataFrame) -> DataFrame:
-    """Groups ``g`` of parsed records with the same surname, given name and suffix."""
+    """Groups ``g`` of parsed records with the same surname, given name and suffix; the rest as numbers, which aggregate in place."""
     return base.where("given != ''").groupBy(_name_code().alias("g"), "surname", "given", "suffix").agg(
-        F.count("*").alias("n"), F.min("allotment").alias("lo"), F.max("allotment").alias("hi"), F.count("allotment").alias("numbers"), F.max("middle").alias("middle"), F.mode("state").alias("state"),
+        F.count("*").alias("n"), F.min("allotment").alias("lo"), F.max("allotment").alias("hi"), F.count("allotment").alias("numbers"), F.max(F.ascii("middle")).alias("middle"), F.max(_code("state")).alias("state"),
     )
 
 
 def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with an initial only: the one person under weaker and weaker keys. Links (src, id, person, rule) and labels (rule, known, agree)."""
-    initials = base.where("given = '' AND initial != ''").select("src", "id", "surname", "initial", "middle", "suffix", "allotment", "state")
+    initials = base.where("given = '' AND initial != ''").select("src", "id", "surname", "initial", F.ascii("middle").alias("middle"), "suffix", "allotment", _code("state").alias("state"))
     heads = people.withColumn("initial", F.substring("given", 1, 1))
 
     def unique(key: list[str], by: DataFrame) -> DataFrame:
-        return by.groupBy(*key).agg(F.min("person").alias("person"), F.max("person").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("middle").alias("p_middle"), F.max_by("surname", "n").alias("p_surname"))
+        return by.groupBy(*key).agg(F.min("person").alias("person"), F.max("person").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("middle").alias("p_middle"))
 
     numbered = heads.where("lo IS NOT NULL")
     numbered = numbered.withColumn("allotment", F.col("lo")).unionByName(numbered.where("hi != lo").withColumn("allotment", F.col("hi")))
     weak = [
         ("initial_number", ["surname", "initial", "suffix", "allotment"], numbered, "middle"),
         ("initial_number_state", ["allotment", "initial", "suffix", "state"], numbered, "middle"),
-        ("initial_middle", ["surname", "initial", "middle", "suffix"], heads.where("middle != ''"), "number"),
+        ("initial_middle", ["surname", "initial", "middle", "suffix"], heads.where("middle != 0"), "number"),
         ("initial", ["surname", "initial", "suffix"], heads, "number"),
     ]
     initials = Kept(initials).df
@@ -92,8 +101,8 @@ def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFr
     for rule, key, by, label in weak:
         found = initials.join(unique(key, by).where("person = other"), key)
         if rule == "initial_number_state":
-            found = found.where(F.levenshtein("surname", "p_surname", 2) >= 0)
-        m_known, m_agree = (F.col("middle") != "") & (F.col("p_middle") != ""), F.col("middle") == F.col("p_middle")
+            found = found.join(people.select(F.col("g").alias("person"), F.col("surname").alias("p_surname")), "person").where(F.levenshtein("surname", "p_surname", 2) >= 0)
+        m_known, m_agree = (F.col("middle") != 0) & (F.col("p_middle") != 0), F.col("middle") == F.col("p_middle")
         n_known, n_agree = F.col("allotment").isNotNull() & F.col("lo").isNotNull(), (F.col("allotment") == F.col("lo")) | (F.col("allotment") == F.col("hi"))
         if label == "middle":
             known, agree, stays = m_known, m_agree, F.lit(True)
@@ -124,20 +133,20 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = Kept(parsed(all_records)).df
     full = base.where("given != ''")
     groups = Kept(group_names(base)).df
-    text = lambda *c: F.concat_ws("|", *c)
+    text = lambda *c: F.xxhash64(*c)
     long = F.length("surname") >= 7
     rules = [
         # (rule, key, edits, labelled by)
-        ("number", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.coalesce("state", F.lit("")))), 3, "middle"),
+        ("number", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 3, "middle"),
         ("number_front", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", 1, 3))), 2, "middle"),
         ("number_back", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", -3, 3))), 2, "middle"),
-        ("front", F.when(long, text(F.substring("surname", 1, 5), "given", "suffix", F.coalesce("state", F.lit("")))), 2, "number"),
-        ("back", F.when(long, text(F.substring("surname", -5, 5), "given", "suffix", F.coalesce("state", F.lit("")))), 2, "number"),
+        ("front", F.when(long, text(F.substring("surname", 1, 5), "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 2, "number"),
+        ("back", F.when(long, text(F.substring("surname", -5, 5), "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 2, "number"),
     ]
     open_, links = groups, None
     for rule, key, most, label in rules:
         found = _led(open_, key, most)
-        both_middle = (F.col("middle") != "") & (F.col("l_middle") != "")
+        both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
         known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~_conflict("", "l_"))
         by_front, by_back = (F.substring("surname", *part) == F.substring("l_surname", *part) for part in ((1, 5), (-5, 5)))
         by_edits = F.levenshtein("surname", "l_surname", 2) >= 0

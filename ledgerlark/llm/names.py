@@ -168,7 +168,7 @@ class NameParser:
 
 def first_named(name: Column) -> Column:
     """The trimmed first name of an entry that may hold several."""
-    return F.trim(F.regexp_extract(name, r"(?s)^([^;&]*)", 1))
+    return F.trim(F.substring_index(F.substring_index(name, ";", 1), "&", 1))
 
 
 def given_names(*names: DataFrame) -> list[str]:
@@ -208,4 +208,5 @@ def number(allotment: Column) -> Column:
     digits = F.regexp_replace(F.upper(allotment), "(?<![A-HJKM-Z])O(?=[0-9])", "0")
     digits = F.regexp_replace(digits, "(?<=[0-9])[IL]|[IL](?=[0-9])", "1")
     digits = F.regexp_replace(F.regexp_replace(digits, "(?<=[0-9])O", "0"), "(?<=[0-9])[IL]", "1")
+    digits = F.when(allotment.rlike("(?i)[0-9][ILO]|[ILO][0-9]"), digits).otherwise(allotment)
     return F.nullif(F.regexp_extract(digits, r"0*([1-9][0-9]*)", 1), F.lit(""))
