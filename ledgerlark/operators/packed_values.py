@@ -72,10 +72,16 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None, pull:
     near = sizes.select("source", "delimiter", "n", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).groupBy("source", "delimiter", "size").agg(F.sum("n").alias("around"))
     counts = _consistency(sizes, near)
     both = Kept(types.join(counts, [types["source"].eqNullSafe(counts["source"]), types["delimiter"] == counts["delimiter"]]).select(types["source"], types["delimiter"], "good", "pieces", "rows", "pairs")).df
-    overall = both.groupBy("delimiter").agg((F.sum("good") / F.sum("pieces")).alias("all_types"), (F.sum(F.col("pairs") / F.col("rows")) / F.sum("rows")).alias("all_counts"))
-    both = both.join(F.broadcast(overall), "delimiter")  # one row per candidate
-    mix = lambda own, everywhere: (own * F.col("rows") + everywhere * pull) / (F.col("rows") + pull)
-    both = both.withColumn("types", mix(F.col("good") / F.col("pieces"), F.col("all_types"))).withColumn("counts", mix(F.col("pairs") / F.col("rows") / F.col("rows"), F.col("all_counts")))
+    overall = both.groupBy("delimiter").agg((F.sum("good") / F.sum("pieces")).alias("t"), (F.sum(F.col("pairs") / F.col("rows")) / F.sum("rows")).alias("c")).collect()  # a row per candidate
+    if not overall:
+        return both.select("source", "delimiter", "rows", F.lit(0.0).alias("types"), F.lit(0.0).alias("counts"), F.lit(0.0).alias("score"))
+    # A source that holds a candidate too rarely to judge it goes by what holds everywhere.
+    everywhere = F.explode(F.array(*[F.struct(F.lit(r["delimiter"]).alias("delimiter"), F.lit(r["t"]).alias("all_types"), F.lit(r["c"]).alias("all_counts")) for r in overall])).alias("e")
+    base = rows.select("source").distinct().select("source", everywhere).select("source", "e.*").alias("s")
+    own = both.alias("o")
+    both = base.join(own, F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.delimiter") == F.col("o.delimiter")), "left").select("s.*", F.coalesce("rows", F.lit(0)).alias("rows"), "good", "pieces", "pairs")
+    mix = lambda value, general: (F.coalesce(value, F.lit(0.0)) * F.col("rows") + general * pull) / (F.col("rows") + pull)
+    both = both.withColumn("types", mix(F.col("good") / F.col("pieces"), F.col("all_types"))).withColumn("counts", mix(F.try_divide(F.col("pairs"), F.col("rows").cast("double") * F.col("rows")), F.col("all_counts")))
     return both.select("source", "delimiter", "rows", "types", "counts", (F.col("types") * (0.8 + 0.2 * F.col("counts"))).alias("score"))
 
 
