@@ -69,4 +69,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p5_found": p5_found, "p2_found": p2_found, "p2_matches": p2_matches, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{Nd}}]+')"
+_RUNS = "(SELECT {k} AS k, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS run FROM (SELECT {k}, {w} AS w FROM {t} WHERE {c} IS NOT NULL) WHERE len(w) >= 13)"
+
+ORACLES: dict[str, str] = {
+    "p6_found": """WITH RECURSIVE e AS (SELECT trust_accession AS a, fee_accession AS b FROM trust_fee_linkages_recovered WHERE trust_accession IS NOT NULL AND fee_accession IS NOT NULL UNION SELECT fee_accession, trust_accession FROM trust_fee_linkages_recovered WHERE trust_accession IS NOT NULL AND fee_accession IS NOT NULL),
+n AS (SELECT trust_accession AS a FROM trust_fee_linkages_recovered WHERE trust_accession IS NOT NULL UNION SELECT fee_accession FROM trust_fee_linkages_recovered WHERE fee_accession IS NOT NULL),
+r(a, b) AS (SELECT a, a FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS accession, min(b) AS group_id FROM r GROUP BY 1""",
+    "p9_found": "SELECT DISTINCT CAST(d.k AS BIGINT) AS doc_id, CAST(i.k AS BIGINT) AS item_id FROM "
+    + _RUNS.format(k="doc_id", t="documents", c="text", w=_WORDS.format(c="text")) + " d JOIN " + _RUNS.format(k="item_id", t="eval_items", c="passage", w=_WORDS.format(c="passage")) + " i ON d.run = i.run",
+}
