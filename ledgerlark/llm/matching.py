@@ -59,9 +59,51 @@ def _name_code() -> Column:
     return F.xxhash64("surname", "given", "suffix")
 
 
-def _conflict(a: str, b: str) -> Column:
-    """Whether two groups have numbers of which neither the smallest nor the largest agree."""
-    return F.coalesce((F.col(f"{a}lo") != F.col(f"{b}lo")) & (F.col(f"{a}hi") != F.col(f"{b}hi")), F.lit(False))
+def near_numbers(a: Column, b: Column) -> Column:
+    """Whether two numbers are equal or one mistyping apart: a digit more, less or other, or two neighbours swapped."""
+    x, y = a.cast("string"), b.cast("string")
+    swapped = lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x))) == y
+    swap = (F.length(x) == F.length(y)) & (F.length(x) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), swapped)
+    return (F.levenshtein(x, y, 1) >= 0) | swap
+
+
+def same_number(a: str, b: str) -> Column:
+    """Whether two groups share a number; null where one has none."""
+    return (F.col(f"{a}lo") == F.col(f"{b}lo")) | (F.col(f"{a}hi") == F.col(f"{b}hi"))
+
+
+def number_conflict(a: str, b: str) -> Column:
+    """Whether two groups have numbers of which none are equal or one mistyping apart."""
+    near = F.lit(False)
+    for x in ("lo", "hi"):
+        for y in ("lo", "hi"):
+            near = near | near_numbers(F.col(f"{a}{x}"), F.col(f"{b}{y}"))
+    return F.coalesce(~same_number(a, b) & ~near, F.lit(False))
+
+
+def near_surnames(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of groups of one given name, suffix and state that may have surnames within two edits; no such pair is left out.
+
+    Of a surname's three segments two edits leave one whole, shifted by no more than the edits on either side
+    of it. Every surname is found by its segments and looks for those of surnames as long as it or up to two shorter.
+    """
+    n = F.length("surname")
+    person = F.xxhash64("given", "suffix", F.coalesce(F.col("state"), F.lit(0)))
+    start = lambda m, i: F.floor(m * i / 3).cast("int") + 1
+    long = lambda m, i: start(m, i + 1) - start(m, i)
+    key = lambda m, i, d: F.xxhash64("p", m, F.lit(i), F.substring("surname", start(m, i) + d, long(m, i)))
+    kept = [key(n, i, 0) for i in range(3)]
+    sought = []
+    for less in range(3):
+        m = n - less
+        for i in range(3):
+            for d in range(max(-i, less - 2 + i), min(i, less + 2 - i) + 1):
+                inside = (m > 0) & (start(m, i) + d >= 1) & (start(m, i) + d + long(m, i) - 1 <= n)
+                sought.append(F.when(inside, key(m, i, d)))
+    rows = groups.select("g", "surname", person.alias("p"))
+    x = rows.select(F.col("g").alias("x"), F.explode(F.array_distinct(F.array_compact(F.array(*sought)))).alias("k"))
+    y = rows.select(F.col("g").alias("y"), F.explode(F.array(*kept)).alias("k"))
+    return x.join(y, "k").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _led(groups: DataFrame, key: Column, most: int) -> DataFrame:
@@ -147,7 +189,7 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
     for rule, key, most, label in rules:
         found = _led(open_, key, most)
         both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
-        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~_conflict("", "l_"))
+        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~number_conflict("", "l_"))
         by_front, by_back = (F.substring("surname", *part) == F.substring("l_surname", *part) for part in ((1, 5), (-5, 5)))
         by_edits = F.levenshtein("surname", "l_surname", 2) >= 0
         found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), known.alias("known"), agree.alias("agree"), (by_front & by_edits).alias("by_front"), (by_back & by_edits).alias("by_back"))).df

@@ -179,6 +179,41 @@ def test_person_variants(spark):
     assert variants.spelling_pairs(variants.person_variants(people(spark, "r", []))).count() == 0
 
 
+TYPOS = [
+    (1, "PETER LAMEBEARUTO", "Crane", "OR", "1234"), (2, "PETER LAMEBEARUTI", "Crane", "OR", "1243"), (3, "PETER LAMBEARUTO", "Crane", "OR", "124"), (4, "PETER LAMEBAERUTO", "Crane", "OR", "9876"),
+]
+
+
+def test_mistyped_numbers(spark):
+    pairs = [(1234, 1243), (1234, 134), (1234, 1239), (12, 21), (7, 7), (1234, 1324), (1234, 4321), (1234, 12), (1243, 2134)]
+    df = spark.createDataFrame(pairs, "a long, b long").select(matching.near_numbers(F.col("a"), F.col("b")))
+    assert [r[0] for r in df.collect()] == [True] * 6 + [False] * 3
+    groups = defaultdict(set)
+    for r in variants.person_variants(people(spark, "r", TYPOS)).collect():
+        groups[r["entity"]].add(r["id"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4]]
+    got = matching.match(people(spark, "l", TYPOS[1:]), people(spark, "r", TYPOS[:1]), "l", "r").collect()
+    assert {r["left_id"] for r in got} == {2, 3}
+
+
+def test_near_surnames(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("AB") for _ in range(rng.randrange(1, 12)))
+    words = sorted({word() for _ in range(150)})
+    df = spark.createDataFrame([(i, w, "G", "", 1) for i, w in enumerate(words)], "g long, surname string, given string, suffix string, state long")
+    found = {tuple(r) for r in matching.near_surnames(df).collect()}
+
+    def apart(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    assert {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if apart(words[i], words[j]) <= 2} <= found
+
+
 def test_tribe_variants(spark):
     typed = ["PEEZEWINK", "THE PEEZEWINK TRIBE", "PEZEEWINK (ID)", "Peeze- wink", "UPPER DRUXIZAIN", "DRUXIZAIN, UPP.", "LOWER DRUXIZAIN", "SHOBAMEERK AND ZOZEYEP", "ZOZEYEP & SHOBAMERK", "UNKNOWN", "INDIAN", None, " ", "PEEZEWINK "]
     df = spark.createDataFrame(list(enumerate(typed)), "id int, name string").withColumn("node", F.lit(1))
