@@ -2,8 +2,9 @@
 
 The records of both sources are taken apart alike and put into one set. The first rule groups records whose
 surname, given name and suffix agree. Each further rule looks at the groups, or records, still open: it joins
-them on a weaker key with the largest group under that key, checks the surnames by edit distance and the
-attributes the key leaves out for conflicts, and what it resolves leaves the cascade by an anti-join.
+them on a weaker key with all groups under that key, checks the surnames by edit distance and the attributes the
+key leaves out for conflicts, and what it resolves leaves the cascade by an anti-join. A group is linked to the
+closest it has no conflict with, among those with a number or, failing that, of more rows; links are followed to their end.
 
 A rule's confidence is its labelled precision: its links are labelled by an attribute that it doesn't use,
 where both sides have one (the allotment number for rules on names, the middle initial for rules on the
@@ -16,7 +17,7 @@ rows are rows of the same person; empty sources give no pairs; extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlark.llm.names import first_named, given_names, number, parse_names
 from ledgerlark.runtime import Kept, small
@@ -106,13 +107,21 @@ def near_surnames(groups: DataFrame) -> DataFrame:
     return x.join(y, "k").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _led(groups: DataFrame, key: Column, most: int) -> DataFrame:
-    """Groups whose surname lies within ``most`` edits of the leading (largest) group under the same key."""
-    keyed = groups.withColumn("key", key).where(F.col("key").isNotNull())
-    w = Window.partitionBy("key").orderBy(F.desc("n"), "g")
-    lead = lambda c: F.first(c).over(w).alias(f"l_{c}")
-    led = keyed.select("*", *[lead(c) for c in ("g", "n", "surname", "lo", "hi", "middle")])
-    return led.where((F.col("g") != F.col("l_g")) & (F.levenshtein("surname", "l_surname", most) >= 0))
+def _leader_columns() -> list[Column]:
+    return [F.col(c).alias(f"l_{c}") for c in ("g", "n", "surname", "lo", "hi", "middle")]
+
+
+def _verified(pairs: DataFrame, most: int) -> DataFrame:
+    """Of pairs of groups those with surnames within ``most`` edits, led by the one with a number, then the larger; so links never form a ring."""
+    strength = lambda x: F.struct(F.col(f"{x}lo").isNotNull(), F.col(f"{x}n"), F.col(f"{x}g"))
+    return pairs.where(strength("l_") > strength("")).withColumn("distance", F.levenshtein("surname", "l_surname", most)).where("distance >= 0")
+
+
+def _led(open_: DataFrame, groups: DataFrame, key: Column, most: int) -> DataFrame:
+    """Open groups with every stronger group under the same key whose surname lies within ``most`` edits."""
+    keyed = lambda df: df.withColumn("key", key).where(F.col("key").isNotNull())
+    leaders = keyed(groups)
+    return _verified(keyed(open_).join(leaders.select("key", *_leader_columns()), "key"), most)
 
 
 def group_names(base: DataFrame) -> DataFrame:
@@ -170,6 +179,17 @@ def attach_initials(base: DataFrame, people: DataFrame) -> DataFrame:
     return done.unionByName(link_initials(base, people)[0].select("src", "id", "person"))
 
 
+def _tops(linked: DataFrame) -> DataFrame:
+    """Links (g, parent, rule) followed to their ends; each round doubles the steps taken."""
+    now = Kept(linked).df
+    while True:
+        up = now.select(F.col("g").alias("parent"), F.col("parent").alias("above"))
+        after = Kept(now.join(up, "parent", "left").select("g", F.coalesce("above", "parent").alias("parent"), "rule", F.col("above").isNotNull().alias("moved"))).df
+        if not after.where("moved").head(1):
+            return now
+        now = after.drop("moved")
+
+
 def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records (src, id, person, rule), and (rule, labelled, agreeing, precision) of every rule."""
     base = Kept(parsed(all_records)).df
@@ -185,24 +205,21 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("front", F.when(long, text(F.substring("surname", 1, 5), "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 2, "number"),
         ("back", F.when(long, text(F.substring("surname", -5, 5), "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 2, "number"),
     ]
-    open_, links = groups, None
+    open_, links, linked = groups, None, None
     for rule, key, most, label in rules:
-        found = _led(open_, key, most)
+        found = _led(open_, groups, key, most)
         both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
         known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~number_conflict("", "l_"))
         by_front, by_back = (F.substring("surname", *part) == F.substring("l_surname", *part) for part in ((1, 5), (-5, 5)))
         by_edits = F.levenshtein("surname", "l_surname", 2) >= 0
-        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), known.alias("known"), agree.alias("agree"), (by_front & by_edits).alias("by_front"), (by_back & by_edits).alias("by_back"))).df
+        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"), (by_front & by_edits).alias("by_front"), (by_back & by_edits).alias("by_back"))).df
         links = found if links is None else links.unionByName(found)
-        if rule != "back":
-            taken = found.where("agree OR NOT known").select("g")
-            open_ = Kept(open_.join(taken, "g", "left_anti")).df
-    linked = links.where("agree OR NOT known").select("g", "parent", "rule")
-    # A leader may itself have been led by a later rule: follow the links to their end.
-    up = linked.select(F.col("g").alias("parent"), F.col("parent").alias("above"))
-    for _ in range(len(rules) - 1):
-        linked = linked.join(up, "parent", "left").select("g", F.coalesce("above", "parent").alias("parent"), "rule")
-    top = Kept(linked).df
+        closest = found.where("agree OR NOT known").groupBy("g").agg(F.min_by("parent", F.struct("distance", -F.col("l_n"), "parent")).alias("parent"))
+        closest = Kept(closest.withColumn("rule", F.lit(rule))).df
+        linked = closest if linked is None else linked.unionByName(closest)
+        if rule != rules[-1][0]:
+            open_ = Kept(open_.join(closest, "g", "left_anti")).df
+    top = _tops(linked)
     people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "lo", "hi", "middle", "state")
     people = Kept(people).df
     done = full.select("src", "id", _name_code().alias("g")).join(people.select("g", "person", "rule"), "g").select("src", "id", "person", "rule")

@@ -196,6 +196,13 @@ def test_mistyped_numbers(spark):
     assert {r["left_id"] for r in got} == {2, 3}
 
 
+def test_matching_shared_key(spark):
+    # Three people share a key; the smaller groups' variants must meet them too.
+    rows = [(i, "PETER LAMEBWEKODI", "Crane", "OR", None) for i in (1, 2, 3)] + [(4, "PETER LAMEBEARUTO", "Crane", "OR", None), (5, "PETER LAMEBEARUTI", "Crane", "OR", None), (6, "PETER LAMEBOSSANI", "Crane", "OR", None), (7, "PETER LAMEBOSSANU", "Crane", "OR", None)]
+    got = matching.match(people(spark, "l", [rows[4], rows[6]]), people(spark, "r", [r for r in rows if r[0] not in (5, 7)], 100), "l", "r").collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == {(5, 104), (7, 106)}
+
+
 def test_near_surnames(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("AB") for _ in range(rng.randrange(1, 12)))
