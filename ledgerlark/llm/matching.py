@@ -108,7 +108,7 @@ def near_surnames(groups: DataFrame) -> DataFrame:
 
 
 def _leader_columns() -> list[Column]:
-    return [F.col(c).alias(f"l_{c}") for c in ("g", "n", "surname", "lo", "hi", "middle")]
+    return [F.col(c).alias(f"l_{c}") for c in ("g", "n", "surname", "lo", "hi", "middle", "state")]
 
 
 def _verified(pairs: DataFrame, most: int) -> DataFrame:
@@ -196,23 +196,25 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = base.where("given != ''")
     groups = Kept(group_names(base)).df
     text = lambda *c: F.xxhash64(*c)
-    long = F.length("surname") >= 7
     rules = [
         # (rule, key, edits, labelled by)
         ("number", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 3, "middle"),
         ("number_front", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", 1, 3))), 2, "middle"),
         ("number_back", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", -3, 3))), 2, "middle"),
-        ("front", F.when(long, text(F.substring("surname", 1, 5), "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 2, "number"),
-        ("back", F.when(long, text(F.substring("surname", -5, 5), "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 2, "number"),
+        ("surname", None, 2, "number"),  # any two edits within given name, suffix and state
     ]
     open_, links, linked = groups, None, None
     for rule, key, most, label in rules:
-        found = _led(open_, groups, key, most)
+        if key is None:
+            near = near_surnames(groups)
+            near = near.select(F.col("a").alias("g"), F.col("b").alias("l_g")).unionByName(near.select(F.col("b").alias("g"), F.col("a").alias("l_g")))
+            found = _verified(open_.join(near, "g").join(groups.select(*_leader_columns()), "l_g"), most)
+        else:
+            found = _led(open_, groups, key, most)
         both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
         known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~number_conflict("", "l_"))
-        by_front, by_back = (F.substring("surname", *part) == F.substring("l_surname", *part) for part in ((1, 5), (-5, 5)))
-        by_edits = F.levenshtein("surname", "l_surname", 2) >= 0
-        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"), (by_front & by_edits).alias("by_front"), (by_back & by_edits).alias("by_back"))).df
+        by_surname = (F.levenshtein("surname", "l_surname", 2) >= 0) & F.col("state").eqNullSafe(F.col("l_state"))
+        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"), by_surname.alias("by_surname"))).df
         links = found if links is None else links.unionByName(found)
         closest = found.where("agree OR NOT known").groupBy("g").agg(F.min_by("parent", F.struct("distance", -F.col("l_n"), "parent")).alias("parent"))
         closest = Kept(closest.withColumn("rule", F.lit(rule))).df
@@ -226,9 +228,9 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     weak, labels = link_initials(base, people)
     done = done.unionByName(weak)
-    # What the rules on the number took before them would have been found, rightly, by the rules on the name.
-    right = [links.where(f"rule LIKE 'number%' AND by_{r}").select(F.lit(r).alias("rule"), F.lit(True).alias("known"), F.lit(True).alias("agree")) for r in ("front", "back")]
-    labels = links.select("rule", "known", "agree").unionByName(labels).unionByName(right[0]).unionByName(right[1])
+    # What the rules on the number took before them would have been found, rightly, by the rule on the surname.
+    right = links.where("rule LIKE 'number%' AND by_surname").select(F.lit("surname").alias("rule"), F.lit(True).alias("known"), F.lit(True).alias("agree"))
+    labels = links.select("rule", "known", "agree").unionByName(labels).unionByName(right)
     labels = labels.where("known").groupBy("rule").agg(F.count("*").alias("labelled"), F.sum(F.col("agree").cast("long")).alias("agreeing"))
     same = groups.where("numbers > 1").agg(F.lit("name").alias("rule"), F.count("*").alias("labelled"), F.coalesce(F.sum((F.col("lo") == F.col("hi")).cast("long")), F.lit(0)).alias("agreeing"))
     labels = labels.unionByName(same).withColumn("precision", (F.coalesce("agreeing", F.lit(0)) + 1) / (F.col("labelled") + 2))

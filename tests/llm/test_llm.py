@@ -203,6 +203,13 @@ def test_matching_shared_key(spark):
     assert {(r["left_id"], r["right_id"]) for r in got} == {(5, 104), (7, 106)}
 
 
+def test_matching_edits_anywhere(spark):
+    typed = ["POKUUWSALE", "POKUWUSALE", "TOBEKI", "TOBIKI", "BOSANIMU", "VOSANIMI"]
+    rows = [(i, f"PETER {n}", "Crane", "OR", None) for i, n in enumerate(typed)]
+    got = matching.match(people(spark, "l", rows[::2]), people(spark, "r", rows[1::2]), "l", "r").collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == {(0, 1), (2, 3), (4, 5)}
+
+
 def test_near_surnames(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("AB") for _ in range(rng.randrange(1, 12)))
