@@ -70,15 +70,12 @@ def near_numbers(a: Column, b: Column) -> Column:
 
 def same_number(a: str, b: str) -> Column:
     """Whether two groups share a number; null where one has none."""
-    return (F.col(f"{a}lo") == F.col(f"{b}lo")) | (F.col(f"{a}hi") == F.col(f"{b}hi"))
+    return F.arrays_overlap(f"{a}nums", f"{b}nums")
 
 
 def number_conflict(a: str, b: str) -> Column:
     """Whether two groups have numbers of which none are equal or one mistyping apart."""
-    near = F.lit(False)
-    for x in ("lo", "hi"):
-        for y in ("lo", "hi"):
-            near = near | near_numbers(F.col(f"{a}{x}"), F.col(f"{b}{y}"))
+    near = F.exists(f"{a}nums", lambda x: F.exists(f"{b}nums", lambda y: near_numbers(x, y)))
     return F.coalesce(~same_number(a, b) & ~near, F.lit(False))
 
 
@@ -108,27 +105,33 @@ def near_surnames(groups: DataFrame) -> DataFrame:
 
 
 def _leader_columns() -> list[Column]:
-    return [F.col(c).alias(f"l_{c}") for c in ("g", "n", "surname", "lo", "hi", "middle", "state")]
+    return [F.col(c).alias(f"l_{c}") for c in ("g", "n", "surname", "nums", "middle", "state")]
 
 
 def _verified(pairs: DataFrame, most: int) -> DataFrame:
     """Of pairs of groups those with surnames within ``most`` edits, led by the one with a number, then the larger; so links never form a ring."""
-    strength = lambda x: F.struct(F.col(f"{x}lo").isNotNull(), F.col(f"{x}n"), F.col(f"{x}g"))
+    strength = lambda x: F.struct(F.col(f"{x}nums").isNotNull(), F.col(f"{x}n"), F.col(f"{x}g"))
     return pairs.where(strength("l_") > strength("")).withColumn("distance", F.levenshtein("surname", "l_surname", most)).where("distance >= 0")
 
 
 def _led(open_: DataFrame, groups: DataFrame, key: Column, most: int) -> DataFrame:
-    """Open groups with every stronger group under the same key whose surname lies within ``most`` edits."""
-    keyed = lambda df: df.withColumn("key", key).where(F.col("key").isNotNull())
-    leaders = keyed(groups)
-    return _verified(keyed(open_).join(leaders.select("key", *_leader_columns()), "key"), most)
+    """Open groups with every stronger group under the same key, for each number ``lo`` of theirs, whose surname lies within ``most`` edits."""
+    keyed = lambda df: df.withColumn("lo", F.explode("nums")).withColumn("key", key).drop("lo")
+    pairs = keyed(open_).join(keyed(groups).select("key", *_leader_columns()), "key").drop("key")
+    return _verified(pairs, most).dropDuplicates(["g", "l_g"])  # groups may share several numbers
 
 
 def group_names(base: DataFrame) -> DataFrame:
-    """Groups ``g`` of parsed records with the same surname, given name and suffix; the rest as numbers, which aggregate in place."""
-    return base.where("given != ''").groupBy(_name_code().alias("g"), "surname", "given", "suffix").agg(
-        F.count("*").alias("n"), F.min("allotment").alias("lo"), F.max("allotment").alias("hi"), F.count("allotment").alias("numbers"), F.max(F.ascii("middle")).alias("middle"), F.max(_code("state")).alias("state"),
-    )
+    """Groups ``g`` of parsed records with the same surname, given name and suffix, with all their numbers (null for none) and their most frequent state."""
+    name = ["g", "surname", "given", "suffix"]
+    rows = base.where("given != ''").select(_name_code().alias("g"), *name[1:], "allotment", F.ascii("middle").alias("middle"), _code("state").alias("state"))
+    # Counted per state and number first, so that neither the rows nor the states of a frequent name meet in one task.
+    counted = rows.groupBy(*name, "state", "allotment").agg(F.count("*").alias("n"), F.max("middle").alias("middle"))
+    by_state = counted.groupBy(*name, "state").agg(F.sum("n").alias("n"), F.collect_set("allotment").alias("nums"), F.sum(F.when(F.col("allotment").isNotNull(), F.col("n")).otherwise(0)).alias("numbers"), F.max("middle").alias("middle"))
+    most = F.when(F.col("state").isNotNull(), F.struct("n", -F.col("state")))
+    nums = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nums"))))
+    groups = by_state.groupBy(*name).agg(F.sum("n").alias("n"), nums.alias("nums"), F.sum("numbers").alias("numbers"), F.max("middle").alias("middle"), F.max_by("state", most).alias("state"))
+    return groups.withColumn("nums", F.when(F.size("nums") > 0, F.col("nums")))
 
 
 def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,10 +140,11 @@ def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFr
     heads = people.withColumn("initial", F.substring("given", 1, 1))
 
     def unique(key: list[str], by: DataFrame) -> DataFrame:
-        return by.groupBy(*key).agg(F.min("person").alias("person"), F.max("person").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("middle").alias("p_middle"))
+        return by.groupBy(*key).agg(F.min("person").alias("person"), F.max("person").alias("other"), F.max("middle").alias("p_middle"))
 
-    numbered = heads.where("lo IS NOT NULL")
-    numbered = numbered.withColumn("allotment", F.col("lo")).unionByName(numbered.where("hi != lo").withColumn("allotment", F.col("hi")))
+    numbered = heads.withColumn("allotment", F.explode("nums"))
+    held = Kept(numbered.select("person", "allotment").distinct()).df
+    any_held = held.select("person").distinct().withColumn("numbered", F.lit(True))
     weak = [
         ("initial_number", ["surname", "initial", "suffix", "allotment"], numbered, "middle"),
         ("initial_number_state", ["allotment", "initial", "suffix", "state"], numbered, "middle"),
@@ -154,7 +158,9 @@ def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFr
         if rule == "initial_number_state":
             found = found.join(people.select(F.col("g").alias("person"), F.col("surname").alias("p_surname")), "person").where(F.levenshtein("surname", "p_surname", 2) >= 0)
         m_known, m_agree = (F.col("middle") != 0) & (F.col("p_middle") != 0), F.col("middle") == F.col("p_middle")
-        n_known, n_agree = F.col("allotment").isNotNull() & F.col("lo").isNotNull(), (F.col("allotment") == F.col("lo")) | (F.col("allotment") == F.col("hi"))
+        if label == "number":
+            found = found.join(any_held, "person", "left").join(held.withColumn("held", F.lit(True)), ["person", "allotment"], "left")
+            n_known, n_agree = F.col("allotment").isNotNull() & F.col("numbered").isNotNull(), F.col("held").isNotNull()
         if label == "middle":
             known, agree, stays = m_known, m_agree, F.lit(True)
         else:
@@ -198,9 +204,9 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = lambda *c: F.xxhash64(*c)
     rules = [
         # (rule, key, edits, labelled by)
-        ("number", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.coalesce(F.col("state"), F.lit(0)))), 3, "middle"),
-        ("number_front", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", 1, 3))), 2, "middle"),
-        ("number_back", F.when(F.col("lo").isNotNull(), text("lo", "given", "suffix", F.substring("surname", -3, 3))), 2, "middle"),
+        ("number", text("lo", "given", "suffix", F.coalesce(F.col("state"), F.lit(0))), 3, "middle"),
+        ("number_front", text("lo", "given", "suffix", F.substring("surname", 1, 3)), 2, "middle"),
+        ("number_back", text("lo", "given", "suffix", F.substring("surname", -3, 3)), 2, "middle"),
         ("surname", None, 2, "number"),  # any two edits within given name, suffix and state
     ]
     open_, links, linked = groups, None, None
@@ -212,7 +218,7 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             found = _led(open_, groups, key, most)
         both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
-        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("lo").isNotNull() & F.col("l_lo").isNotNull(), ~number_conflict("", "l_"))
+        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("nums").isNotNull() & F.col("l_nums").isNotNull(), ~number_conflict("", "l_"))
         by_surname = (F.levenshtein("surname", "l_surname", 2) >= 0) & F.col("state").eqNullSafe(F.col("l_state"))
         found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"), by_surname.alias("by_surname"))).df
         links = found if links is None else links.unionByName(found)
@@ -222,7 +228,7 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
         if rule != rules[-1][0]:
             open_ = Kept(open_.join(closest, "g", "left_anti")).df
     top = _tops(linked)
-    people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "lo", "hi", "middle", "state")
+    people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "nums", "middle", "state")
     people = Kept(people).df
     done = full.select("src", "id", _name_code().alias("g")).join(people.select("g", "person", "rule"), "g").select("src", "id", "person", "rule")
 
@@ -232,7 +238,7 @@ def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = links.where("rule LIKE 'number%' AND by_surname").select(F.lit("surname").alias("rule"), F.lit(True).alias("known"), F.lit(True).alias("agree"))
     labels = links.select("rule", "known", "agree").unionByName(labels).unionByName(right)
     labels = labels.where("known").groupBy("rule").agg(F.count("*").alias("labelled"), F.sum(F.col("agree").cast("long")).alias("agreeing"))
-    same = groups.where("numbers > 1").agg(F.lit("name").alias("rule"), F.count("*").alias("labelled"), F.coalesce(F.sum((F.col("lo") == F.col("hi")).cast("long")), F.lit(0)).alias("agreeing"))
+    same = groups.where("numbers > 1").agg(F.lit("name").alias("rule"), F.count("*").alias("labelled"), F.coalesce(F.sum((F.size("nums") == 1).cast("long")), F.lit(0)).alias("agreeing"))
     labels = labels.unionByName(same).withColumn("precision", (F.coalesce("agreeing", F.lit(0)) + 1) / (F.col("labelled") + 2))
     return done, labels
 

@@ -210,6 +210,15 @@ def test_matching_edits_anywhere(spark):
     assert {(r["left_id"], r["right_id"]) for r in got} == {(0, 1), (2, 3), (4, 5)}
 
 
+def test_group_states_and_numbers(spark):
+    rows = [(1, "PETER LAMEBEARUTO", None, "OR", "500"), (2, "PETER LAMEBEARUTO", None, "OR", "100"), (3, "PETER LAMEBEARUTO", None, "OR", "900")]
+    for wrong in ("AZ", "CA", "ID", "WA"):  # a wrong state in one row outvotes none of the others
+        got = matching.group_names(matching.parsed(people(spark, "r", [*rows, (4, "PETER LAMEBEARUTO", None, wrong, None)]))).select("n", "nums", "numbers", F.col("state") == F.xxhash64(F.lit("OR")))
+        assert [tuple(r) for r in got.collect()] == [(4, [100, 500, 900], 3, True)]
+    got = matching.match(people(spark, "l", [(1, "PETER LAMEBEARUTI", None, "WA", "500")]), people(spark, "r", rows, 100), "l", "r").collect()
+    assert {r["right_id"] for r in got} == {101, 102, 103}
+
+
 def test_near_surnames(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("AB") for _ in range(rng.randrange(1, 12)))
