@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlark.functions.hashing import xx_longs
-from ledgerlark.runtime import BROADCAST_ROWS, Kept
+from ledgerlark.runtime import Kept, small
 
 _CELL = "b long, cell long, n long, kx long, hx long, cx long"
 _CHECK = 77
@@ -151,9 +151,7 @@ def differing_keys(left: DataFrame, right: DataFrame, key: str, bucket_keys: int
     n_stuck = stuck.count()
     keys = peeled.df.where("sign != 0").select("k")
     if n_stuck:
-        if n_stuck <= BROADCAST_ROWS:
-            stuck = F.broadcast(stuck)
-        rest = elements.withColumn("b", bucket).join(stuck, "b", "left_semi")
+        rest = elements.withColumn("b", bucket).join(small(stuck, n_stuck), "b", "left_semi")
         rest = rest.groupBy("k", "h").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo = hi").select("k")
         keys = keys.unionByName(rest)
     return keys.distinct(), kind
@@ -164,9 +162,7 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str = "id", missing_in_r
     lk, rk = ({f.name: f.dataType for f in df.schema.fields} for df in (left, right))
     names = [c for c in left.columns if c in right.columns and c != key]
     keys = Kept(differing_keys(left, right, key)[0]).df
-    n = keys.count()
-    if n <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = small(keys, keys.count())
     # A field becomes one compared value, so that sides of different types are compared as strings.
     text = {c: lk[c] != rk[c] for c in names}
 

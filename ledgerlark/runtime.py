@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Rows up to which a small side may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a small side may be broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 64 * 2**20
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_made: list[list[Kept]] = []
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -36,12 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates, below the cluster's spark.checkpoint.dir.
 
-    Where the cluster names none (tests, local runs) a temporary folder is set once.
+    Where a local session names none (tests) a temporary folder is set once; a cluster must name a folder that all its machines share.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
             root = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
             spark.sparkContext.setCheckpointDir(root)
         _roots[app] = f"{root.rstrip('/')}/ledgerlark-{uuid.uuid4().hex[:12]}"
@@ -70,6 +75,8 @@ class Kept:
         self.path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex[:12]}"
         df.write.partitionBy(*partition_by).parquet(self.path) if partition_by else df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _made:
+            _made[-1].append(self)
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
@@ -80,10 +87,39 @@ def keep(df: DataFrame) -> DataFrame:
     return Kept(df).df
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted rows stay within ``limit``; otherwise leave it to a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def finished(build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, written to shared storage; what was written there on the way is dropped."""
+    _made.append([])
+    try:
+        out = Kept(build())
+    finally:
+        made = _made.pop()
+    for k in made:
+        if k is not out:
+            k.drop()
+    if _made:
+        _made[-1].append(out)
+    return out.df
+
+
+def _width(field: T.StructField) -> Column | int:
+    """Bytes of a field, or an expression for them where they vary."""
+    if isinstance(field.dataType, _FIXED):
+        return 8
+    c = F.col(f"`{field.name}`")
+    return 16 + F.coalesce(F.octet_length(c if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))), F.lit(0))
+
+
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if its measured size stays within ``limit`` bytes; otherwise leave it to a shuffle join. ``rows``: its number, if known."""
+    widths = [_width(f) for f in df.schema.fields]
+    fixed, varying = sum(w for w in widths if isinstance(w, int)), [w for w in widths if not isinstance(w, int)]
+    if rows is not None and not varying:
+        size = rows * fixed
+    else:
+        row = sum(varying, F.lit(fixed))
+        size = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def free_name(df: DataFrame, base: str) -> str:
