@@ -1,13 +1,14 @@
 """Matching entities across sources without keys: a cascade of exact joins on weaker and weaker attributes.
 
-The records of both sources are taken apart alike and put into one set. The first rule groups records whose
-surname, given name and suffix agree. Each further rule looks at the groups, or records, still open: it joins
-them on a weaker key with all groups under that key, checks the surnames by edit distance and the attributes the
-key leaves out for conflicts, and what it resolves leaves the cascade by an anti-join. A group is linked to the
-closest it has no conflict with, among those with a number or, failing that, of more rows; links are followed to their end.
-
-A rule's confidence is its labelled precision: its links are labelled by an attribute that it doesn't use,
-where both sides have one (the allotment number for rules on names, the middle initial for rules on the
+The records of both sources are taken apart alike and put into one set. Records whose surname, given name, suffix and
+state agree are one group. Each rule joins groups, or records, on a weaker key with all groups under that key, checks the
+surnames by edit distance and the attributes the key leaves out for conflicts, and what it resolves leaves the
+cascade by an anti-join. A group is linked to the closest it has no conflict with, among those with a number or, failing
+that, of more rows; links are followed to their end. So two people of one name in two states, with numbers that differ by
+more than a mistyping, stay two.
+
+A rule's confidence is its labelled precision: all pairs it finds, open or not, are labelled by an attribute that it
+doesn't use, where both sides have one (the allotment number for rules on names, the middle initial for rules on the
 number), as (agreeing + 1) / (labelled + 2). Labels are counted before conflicts are put aside. A pair has the
 smaller confidence of its two records.
 
@@ -19,11 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlark.llm.names import first_named, given_names, number, parse_names
+from ledgerlark.llm.names import NameWords, first_named, given_names, learn_short_forms, number, parse_names
 from ledgerlark.runtime import Kept, small
 
-_GENERIC = r"\b(?:TRIBES?|BANDS?|NATION|INDIANS?|PEOPLE|ALLOTTEES?|RESERVATION|IND|TR|OF|AND|THE)\b|\(.*\)"
-
 SCHEMA = "src string, id long, name string, tribe string, state string, allotment long"
 
 
@@ -37,18 +36,19 @@ def records(src: str, df: DataFrame, id_: str, name: str, tribe: str, state: str
     return out.where("name != ''")
 
 
-def parsed(all_records: DataFrame) -> DataFrame:
+def parsed(all_records: DataFrame, words: NameWords = NameWords()) -> DataFrame:
     """Records with their name's parts; a null state is taken from the state most common with the record's tribe label."""
     rows = Kept(all_records).df  # read three times below; the names are taken apart once
     # Labels are cleaned once per spelling, not once per record.
     spelt = Kept(rows.where("tribe IS NOT NULL AND state IS NOT NULL").groupBy("tribe", "state").agg(F.count("*").alias("n"))).df
-    clean = F.regexp_replace(F.regexp_replace("tribe", _GENERIC, ""), "[^A-Z]", "").alias("clean")
+    clean = F.regexp_replace(F.regexp_replace("tribe", words.generic, "") if words.generic else F.col("tribe"), "[^A-Z]", "").alias("clean")
     of_tribe = spelt.groupBy(clean, "state").agg(F.sum("n").alias("n")).groupBy("clean").agg(F.max_by("state", F.struct("n", "state")).alias("tribe_state"))
     lacking = rows.where("state IS NULL AND tribe IS NOT NULL").select("tribe").distinct().select("tribe", clean)
     found = Kept(lacking.join(of_tribe, "clean").select("tribe", "tribe_state")).df
-    given = given_names(rows.select("name"))
+    given = given_names(rows.select("name"), words)
+    short = learn_short_forms(rows, given, words)
     filled = rows.join(small(found), "tribe", "left").withColumn("state", F.coalesce("state", "tribe_state")).drop("tribe_state", "tribe")
-    return parse_names(filled, "name", given)
+    return parse_names(filled, "name", given, short, words)
 
 
 def _code(column: str) -> Column:
@@ -56,8 +56,7 @@ def _code(column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.xxhash64(column))
 
 
-def _name_code() -> Column:
-    return F.xxhash64("surname", "given", "suffix")
+_NAME = ["surname", "given", "suffix", "state"]
 
 
 def near_numbers(a: Column, b: Column) -> Column:
@@ -86,7 +85,7 @@ def near_surnames(groups: DataFrame) -> DataFrame:
     of it. Every surname is found by its segments and looks for those of surnames as long as it or up to two shorter.
     """
     n = F.length("surname")
-    person = F.xxhash64("given", "suffix", F.coalesce(F.col("state"), F.lit(0)))
+    person = F.xxhash64("given", "suffix", "state")
     start = lambda m, i: F.floor(m * i / 3).cast("int") + 1
     long = lambda m, i: start(m, i + 1) - start(m, i)
     key = lambda m, i, d: F.xxhash64("p", m, F.lit(i), F.substring("surname", start(m, i) + d, long(m, i)))
@@ -104,8 +103,11 @@ def near_surnames(groups: DataFrame) -> DataFrame:
     return x.join(y, "k").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+_CARRIED = ("n", "surname", "nums", "middle")
+
+
 def _leader_columns() -> list[Column]:
-    return [F.col(c).alias(f"l_{c}") for c in ("g", "n", "surname", "nums", "middle", "state")]
+    return [F.col(c).alias(f"l_{c}") for c in ("g", *_CARRIED)]
 
 
 def _verified(pairs: DataFrame, most: int) -> DataFrame:
@@ -114,29 +116,34 @@ def _verified(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.where(strength("l_") > strength("")).withColumn("distance", F.levenshtein("surname", "l_surname", most)).where("distance >= 0")
 
 
-def _led(open_: DataFrame, groups: DataFrame, key: Column, most: int) -> DataFrame:
-    """Open groups with every stronger group under the same key, for each number ``lo`` of theirs, whose surname lies within ``most`` edits."""
-    keyed = lambda df: df.withColumn("lo", F.explode("nums")).withColumn("key", key).drop("lo")
+def _led(open_: DataFrame, groups: DataFrame, key: Column, most: int, number: str = "lo") -> DataFrame:
+    """Open groups with every stronger group under the same key, for each ``number`` of theirs if the key has one, whose surname lies within ``most`` edits."""
+    keyed = lambda df: df.withColumn(number, F.explode("nums")).withColumn("key", key).drop(number) if number else df.withColumn("key", key)
     pairs = keyed(open_).join(keyed(groups).select("key", *_leader_columns()), "key").drop("key")
     return _verified(pairs, most).dropDuplicates(["g", "l_g"])  # groups may share several numbers
 
 
 def group_names(base: DataFrame) -> DataFrame:
-    """Groups ``g`` of parsed records with the same surname, given name and suffix, with all their numbers (null for none) and their most frequent state."""
-    name = ["g", "surname", "given", "suffix"]
-    rows = base.where("given != ''").select(_name_code().alias("g"), *name[1:], "allotment", F.ascii("middle").alias("middle"), _code("state").alias("state"))
-    # Counted per state and number first, so that neither the rows nor the states of a frequent name meet in one task.
-    counted = rows.groupBy(*name, "state", "allotment").agg(F.count("*").alias("n"), F.max("middle").alias("middle"))
-    by_state = counted.groupBy(*name, "state").agg(F.sum("n").alias("n"), F.collect_set("allotment").alias("nums"), F.sum(F.when(F.col("allotment").isNotNull(), F.col("n")).otherwise(0)).alias("numbers"), F.max("middle").alias("middle"))
-    most = F.when(F.col("state").isNotNull(), F.struct("n", -F.col("state")))
-    nums = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nums"))))
-    groups = by_state.groupBy(*name).agg(F.sum("n").alias("n"), nums.alias("nums"), F.sum("numbers").alias("numbers"), F.max("middle").alias("middle"), F.max_by("state", most).alias("state"))
-    return groups.withColumn("nums", F.when(F.size("nums") > 0, F.col("nums")))
+    """Groups of parsed records with the same surname, given name, suffix and state (0 for none), with all their numbers (null for none).
+
+    Groups are numbered, ``g``, when they are written, so two never share a number.
+    """
+    rows = _named(base).select(*_NAME, "allotment", F.ascii("middle").alias("middle"))
+    # Counted per number first, so that the rows of a frequent name don't meet in one task.
+    counted = rows.groupBy(*_NAME, "allotment").agg(F.count("*").alias("n"), F.max("middle").alias("middle"))
+    groups = counted.groupBy(*_NAME).agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("allotment")).alias("nums"), F.sum(F.when(F.col("allotment").isNotNull(), F.col("n")).otherwise(0)).alias("numbers"), F.max("middle").alias("middle"))
+    groups = groups.withColumn("nums", F.when(F.size("nums") > 0, F.col("nums"))).withColumn("g", F.monotonically_increasing_id())
+    return Kept(groups).df
+
+
+def _named(base: DataFrame) -> DataFrame:
+    """Parsed records with a given name, their state as a number."""
+    return base.where("given != ''").withColumn("state", F.coalesce(_code("state"), F.lit(0)))
 
 
 def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with an initial only: the one person under weaker and weaker keys. Links (src, id, person, rule) and labels (rule, known, agree)."""
-    initials = base.where("given = '' AND initial != ''").select("src", "id", "surname", "initial", F.ascii("middle").alias("middle"), "suffix", "allotment", _code("state").alias("state"))
+    initials = base.where("given = '' AND initial != ''").select("src", "id", "surname", "initial", F.ascii("middle").alias("middle"), "suffix", "allotment", F.coalesce(_code("state"), F.lit(0)).alias("state"))
     heads = people.withColumn("initial", F.substring("given", 1, 1))
 
     def unique(key: list[str], by: DataFrame) -> DataFrame:
@@ -173,18 +180,14 @@ def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFr
         left = Kept(left.join(found.select("src", "id"), ["src", "id"], "left_anti")).df
     done = weak_links.select("src", "id", "person", "rule")
     # Initials nobody was found for still match each other under one spelling and number.
+    key = ["surname", "initial", "suffix", "allotment"]
     alone = left.where("allotment IS NOT NULL")
-    done = done.unionByName(alone.select("src", "id", F.xxhash64("surname", "initial", "suffix", "allotment").alias("person"), F.lit("initial_number").alias("rule")))
+    persons = Kept(alone.select(*key).distinct().withColumn("person", -1 - F.monotonically_increasing_id())).df  # below all groups' numbers
+    done = done.unionByName(alone.join(persons, key).select("src", "id", "person", F.lit("initial_number").alias("rule")))
 
     return done, labels
 
 
-def attach_initials(base: DataFrame, people: DataFrame) -> DataFrame:
-    """Records (src, id, person) of all parsed records, given the person of each group of names."""
-    done = base.where("given != ''").select("src", "id", _name_code().alias("g")).join(people.select("g", "person"), "g").select("src", "id", "person")
-    return done.unionByName(link_initials(base, people)[0].select("src", "id", "person"))
-
-
 def _tops(linked: DataFrame) -> DataFrame:
     """Links (g, parent, rule) followed to their ends; each round doubles the steps taken."""
     now = Kept(linked).df
@@ -196,56 +199,57 @@ def _tops(linked: DataFrame) -> DataFrame:
         now = after.drop("moved")
 
 
-def resolve(all_records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve(all_records: DataFrame, words: NameWords = NameWords()) -> tuple[DataFrame, DataFrame]:
     """Records (src, id, person, rule), and (rule, labelled, agreeing, precision) of every rule."""
-    base = Kept(parsed(all_records)).df
-    full = base.where("given != ''")
-    groups = Kept(group_names(base)).df
+    base = Kept(parsed(all_records, words)).df
+    groups = group_names(base)
     text = lambda *c: F.xxhash64(*c)
     rules = [
         # (rule, key, edits, labelled by)
-        ("number", text("lo", "given", "suffix", F.coalesce(F.col("state"), F.lit(0))), 3, "middle"),
+        ("name", text("surname", "given", "suffix"), 0, "number"),  # one name in several states
+        ("number", text("lo", "given", "suffix", "state"), 3, "middle"),
         ("number_front", text("lo", "given", "suffix", F.substring("surname", 1, 3)), 2, "middle"),
         ("number_back", text("lo", "given", "suffix", F.substring("surname", -3, 3)), 2, "middle"),
         ("surname", None, 2, "number"),  # any two edits within given name, suffix and state
     ]
     open_, links, linked = groups, None, None
     for rule, key, most, label in rules:
+        # A rule is tried on all groups, so that its labels don't depend on what the rules before it left.
         if key is None:
             near = near_surnames(groups)
-            near = near.select(F.col("a").alias("g"), F.col("b").alias("l_g")).unionByName(near.select(F.col("b").alias("g"), F.col("a").alias("l_g")))
-            found = _verified(open_.join(near, "g").join(groups.select(*_leader_columns()), "l_g"), most)
+            pairs = near.join(groups.select(F.col("g").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _CARRIED]), "a").join(groups.select(F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in _CARRIED]), "b")
+            stronger = F.struct(F.col("a_nums").isNotNull(), "a_n", "a") > F.struct(F.col("b_nums").isNotNull(), "b_n", "b")
+            pick = lambda x, y: [F.when(stronger, F.col(x)).otherwise(F.col(y))]
+            sides = [*[pick(f"b_{c}", f"a_{c}")[0].alias(c) for c in _CARRIED], *[pick(f"a_{c}", f"b_{c}")[0].alias(f"l_{c}") for c in _CARRIED], pick("b", "a")[0].alias("g"), pick("a", "b")[0].alias("l_g")]
+            found = pairs.select(*sides).withColumn("distance", F.levenshtein("surname", "l_surname", most)).where("distance >= 0")
         else:
-            found = _led(open_, groups, key, most)
+            found = _led(groups, groups, key, most, "lo" if rule != "name" else "")
         both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
         known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("nums").isNotNull() & F.col("l_nums").isNotNull(), ~number_conflict("", "l_"))
-        by_surname = (F.levenshtein("surname", "l_surname", 2) >= 0) & F.col("state").eqNullSafe(F.col("l_state"))
-        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"), by_surname.alias("by_surname"))).df
+        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"))).df
         links = found if links is None else links.unionByName(found)
         closest = found.where("agree OR NOT known").groupBy("g").agg(F.min_by("parent", F.struct("distance", -F.col("l_n"), "parent")).alias("parent"))
-        closest = Kept(closest.withColumn("rule", F.lit(rule))).df
+        closest = Kept((closest if linked is None else closest.join(open_.select("g"), "g", "left_semi")).withColumn("rule", F.lit(rule))).df
         linked = closest if linked is None else linked.unionByName(closest)
         if rule != rules[-1][0]:
-            open_ = Kept(open_.join(closest, "g", "left_anti")).df
+            open_ = Kept(open_.select("g").join(closest, "g", "left_anti")).df
     top = _tops(linked)
     people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "nums", "middle", "state")
     people = Kept(people).df
-    done = full.select("src", "id", _name_code().alias("g")).join(people.select("g", "person", "rule"), "g").select("src", "id", "person", "rule")
+    done = _named(base).select("src", "id", *_NAME).join(people.select(*_NAME, "person", "rule"), _NAME).select("src", "id", "person", "rule")
 
     weak, labels = link_initials(base, people)
     done = done.unionByName(weak)
-    # What the rules on the number took before them would have been found, rightly, by the rule on the surname.
-    right = links.where("rule LIKE 'number%' AND by_surname").select(F.lit("surname").alias("rule"), F.lit(True).alias("known"), F.lit(True).alias("agree"))
-    labels = links.select("rule", "known", "agree").unionByName(labels).unionByName(right)
+    labels = links.select("rule", "known", "agree").unionByName(labels)
     labels = labels.where("known").groupBy("rule").agg(F.count("*").alias("labelled"), F.sum(F.col("agree").cast("long")).alias("agreeing"))
     same = groups.where("numbers > 1").agg(F.lit("name").alias("rule"), F.count("*").alias("labelled"), F.coalesce(F.sum((F.size("nums") == 1).cast("long")), F.lit(0)).alias("agreeing"))
-    labels = labels.unionByName(same).withColumn("precision", (F.coalesce("agreeing", F.lit(0)) + 1) / (F.col("labelled") + 2))
-    return done, labels
+    labels = labels.unionByName(same).groupBy("rule").agg(F.sum("labelled").alias("labelled"), F.sum("agreeing").alias("agreeing"))
+    return done, labels.withColumn("precision", (F.coalesce("agreeing", F.lit(0)) + 1) / (F.col("labelled") + 2))
 
 
-def match(left: DataFrame, right: DataFrame, left_src: str, right_src: str) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, left_src: str, right_src: str, words: NameWords = NameWords()) -> DataFrame:
     """Pairs (left_id, right_id, rule, confidence) of records (see ``records``) of the same person."""
-    done, labels = resolve(left.unionByName(right))
+    done, labels = resolve(left.unionByName(right), words)
     a = done.where(F.col("src") == left_src).select(F.col("id").alias("left_id"), "person", F.col("rule").alias("l_rule"))
     b = done.where(F.col("src") == right_src).select(F.col("id").alias("right_id"), "person", F.col("rule").alias("r_rule"))
     rates = F.broadcast(labels.select("rule", "precision"))  # one row per rule

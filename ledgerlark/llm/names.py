@@ -9,35 +9,34 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Share of all names from which a leading token counts as a given name; so there are at most 1 / share.
 GIVEN_SHARE = 0.002
 
-#: Entries that name nobody.
-NOBODY = frozenset(
-    "|N/A|NA|TRIBAL|TRIBE|UNKNOWN|NOT KNOWN|NOT STATED|NOT GIVEN|NONE|NONE GIVEN|UNITED STATES|ILLEGIBLE|NAME ILLEGIBLE|NO NAME|UNNAMED|HEIRS|HEIRS NOT KNOWN|HEIRS UNKNOWN|NAMES UNKNOWN|ESTATE|VARIOUS|PUBLIC|?".split("|")
-)
-#: Short forms of given names, by the name they stand for.
-SHORT_FORMS = {
-    "ABIGAIL": "ABBY ABBIE GAIL", "ALEXANDER": "ALEX ALEC ALECK ALEXR SANDY", "ANDREW": "ANDY ANDW ANDR DREW", "BENJAMIN": "BEN BENJ BENNIE BENNY", "CATHERINE": "CATH CATHIE KATE KATIE CATHY",
-    "CHARLES": "CHAS CHARLIE CHARLEY CHUCK", "DANIEL": "DAN DANL DANNY", "DOROTHY": "DOT DOLLY DOTTIE DORA", "EDWARD": "ED EDW EDDIE NED TED", "ELIZABETH": "ELIZ ELIZA ELSIE LIZZIE BETSY BETTY BESSIE LIZ BETH",
-    "FLORENCE": "FLO FLORA FLOSSIE", "FREDERICK": "FRED FREDK FREDDIE FREDDY", "GEORGE": "GEO GEORGIE", "HARVEY": "HARV", "HENRIETTA": "HETTY HENNIE HETTIE ETTA", "HENRY": "HY HANK HARRY",
-    "IRENE": "RENIE RENE", "ISAAC": "IKE ISAC", "JAMES": "JAS JIM JIMMY JIMMIE JEM", "JOHN": "JNO JACK JOHNNY JOHNNIE", "JOSEPH": "JOS JOE JOEY", "JOSEPHINE": "JO JOSIE JOSEY", "KEZIAH": "KEZ KEZZIE KIZZIE",
-    "LAWRENCE": "LAWR LARRY LAURENCE", "LOUISA": "LOU LULU LOUISE", "MARGARET": "MARGT MAGGIE MARGIE PEGGY MEG", "MARY": "MOLLY POLLY MAMIE", "MICHAEL": "MICHL MIKE MICK", "NANCY": "NAN NANNIE NANCE",
-    "NATHANIEL": "NATHL NAT NATHAN NATE", "OLIVER": "OLIV OLLIE", "OPHELIA": "OPHIE PHELIA", "PETER": "PETE", "PRISCILLA": "PRISSY CILLA PRIS", "REBECCA": "BECKY REBA BECCA", "ROBERT": "ROBT BOB BOBBY ROB BOBBIE",
-    "SAMUEL": "SAM SAML SAMMY", "SUSANNA": "SUE SUSIE SUSAN SUKEY SUSANNAH", "THERESA": "TERESA TESS TESSIE TERRY", "THOMAS": "THOS TOM TOMMY", "URIAH": "URI", "VINCENT": "VIN VINCE", "VIRGINIA": "GINNY VIRGIE",
-    "WILLIAM": "WM WILL BILL WILLIE BILLY", "WINIFRED": "WINNIE WINNIFRED WIN", "ZACHARIAH": "ZACH ZACK ZACHARY",
-}
-_SHORT = {short: full for full, forms in SHORT_FORMS.items() for short in forms.split()}
-
-_NOTES = re.compile(r"\b(?:HEIRS?\s+OF|(?:THE\s+)?ESTATE\s+OF|ET\s+AL|ET\s+UX|DECEASED|DEC'?D|MRS|MISS|MR)\b\.?|[()\"]")
+#: Share of all names from which a learned short form is kept; so there are at most 1 / share.
+SHORT_SHARE = 1e-5
+
+_PLAIN = re.compile(r"[()\"]")
 _LETTERS = re.compile(r"[^A-Z0-9]")
 _TOKENS = re.compile(r"[\s.]+")
 
 
+@dataclass(frozen=True)
+class NameWords:
+    """What is known of a corpus beforehand; nothing by default."""
+
+    nobody: frozenset[str] = frozenset()  # entries that name nobody
+    notes: str = ""  # pattern of notes around a name
+    titles: frozenset[str] = frozenset()  # leading words that are no given names
+    generic: str = ""  # pattern of words in a group's label that are not its name
+    short_forms: dict[str, str] = field(default_factory=dict)  # short form -> given name, beside the learned ones
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance (a swap of neighbours is one edit); most + 1 if beyond ``most``."""
     if a == b:
@@ -70,12 +69,13 @@ def _cuts(token: str, most: int) -> set[str]:
 
 
 class NameParser:
-    """Takes typed names apart, given the known given names."""
+    """Takes typed names apart, given the known given names and their short forms."""
 
-    def __init__(self, given: list[str]):
-        self.given = {g: g for g in given if len(g) > 1}
-        self.known = {**{s: f for s, f in _SHORT.items()}, **{f: f for f in SHORT_FORMS}}
-        self.known.update({g: self.known.get(g, g) for g in self.given})
+    def __init__(self, given: list[str], short: dict[str, str] | None = None, words: NameWords = NameWords()):
+        self.words, self.notes = words, re.compile(words.notes) if words.notes else None
+        self.known = {**words.short_forms, **(short or {})}
+        self.known.update({f: f for f in set(self.known.values())})
+        self.known.update({g: self.known.get(g, g) for g in given if len(g) > 1})
         # Known names by what is left of them after up to two deletions, to look misspelt tokens up.
         self.targets = frozenset(self.known.values())
         self.cut: dict[str, set[str]] = {}
@@ -109,8 +109,8 @@ class NameParser:
         """(surname, given name or '', its initial, middle initial, suffix), or None if the entry names nobody."""
         if typed is None:
             return None
-        s = _NOTES.sub(" ", typed.upper()).strip(" ,.-")
-        if s in NOBODY or " ".join(s.split()) in NOBODY:
+        s = _PLAIN.sub(" ", self.notes.sub(" ", typed.upper()) if self.notes else typed.upper()).strip(" ,.-")
+        if not s or s in self.words.nobody or " ".join(s.split()) in self.words.nobody:
             return None
         left, comma, right = s.partition(",")
         tokens = [t for t in _TOKENS.split(right if comma else s) if t]
@@ -171,33 +171,63 @@ def first_named(name: Column) -> Column:
     return F.trim(F.substring_index(F.substring_index(name, ";", 1), "&", 1))
 
 
-def given_names(*names: DataFrame) -> list[str]:
-    """Tokens that stand where given names stand in at least GIVEN_SHARE of all names (one column, ``name``)."""
-    every = names[0]
-    for n in names[1:]:
-        every = every.unionByName(n)
-    token = F.regexp_extract(F.upper("name"), r"^(?:[^,;&]*,\s*|\s*)([A-Z]{2,})(?=[\s.;&]|$)", 1)
-    counts = every.where(F.col("name").isNotNull()).groupBy(token.alias("t")).agg(F.count("*").alias("n"))
-    n = every.count()
-    rows = counts.where((F.col("t") != "") & (F.col("n") >= max(3, int(n * GIVEN_SHARE)))).select("t").collect()  # at most 1 / GIVEN_SHARE
-    titles = {"MRS", "MISS", "MR", "HEIRS", "ESTATE", "NOT", "UNITED", "THE", "JR", "SR", "UNKNOWN", "TRIBAL", "NONE"}
-    return sorted(r["t"] for r in rows if r["t"] not in titles)
+def _given_token(name: Column) -> Column:
+    """The token where given names stand: the first, or the first after a comma; '' if it is no word."""
+    return F.regexp_extract(F.upper(name), r"^(?:[^,;&]*,\s*|\s*)([A-Z]{2,})(?=[\s.;&]|$)", 1)
 
 
-def parse_names(df: DataFrame, column: str, given: list[str]) -> DataFrame:
+def given_names(names: DataFrame, words: NameWords = NameWords()) -> list[str]:
+    """Tokens that stand where given names stand in at least GIVEN_SHARE of all names (column ``name``)."""
+    counts = names.where(F.col("name").isNotNull()).groupBy(_given_token(F.col("name")).alias("t")).agg(F.count("*").alias("n"))
+    n = names.count()
+    rows = counts.where((F.col("t") != "") & (F.col("n") >= max(3, int(n * GIVEN_SHARE)))).select("t").collect()  # at most 1 / GIVEN_SHARE
+    return sorted(r["t"] for r in rows if r["t"] not in words.titles)
+
+
+def learn_short_forms(rows: DataFrame, given: list[str], words: NameWords = NameWords(), least: int = 2, share: float = 0.8) -> dict[str, str]:
+    """Short forms of the known given names, learned from rows (name, state, allotment).
+
+    Two entries with the same state, number and other letters name one person; where one of them has a known given name and
+    the other another token in its place, that token is taken to stand for the name. A token that does so at ``least``
+    times, and in ``share`` of the cases for the same name, is a short form. Names without a number teach nothing.
+    """
+    if not given:
+        return {}
+    plain = F.upper("name")
+    if words.notes:
+        plain = F.regexp_replace(plain, words.notes, " ")
+    plain = F.trim(F.regexp_replace(plain, r"[()\"]", " "))
+    token = _given_token(plain)
+    # What is left without the token, single letters and anything but letters.
+    rest = F.regexp_replace(F.regexp_replace(plain, r"^([^,;&]*,\s*|\s*)[A-Z]{2,}(?=[\s.;&]|$)", "$1 "), r"\b[A-Z]\b|[^A-Z]", "")
+    named = rows.where(F.col("allotment").isNotNull()).select(token.alias("t"), "state", "allotment", rest.alias("rest")).where("t != '' AND length(rest) > 3")
+    full = F.col("t").isin(given)
+    # The distinct tokens of one person's entries meet in one group: two sets, of known names and of other tokens.
+    met = named.groupBy(F.xxhash64("state", "allotment", "rest").alias("k")).agg(F.collect_set(F.when(full, F.col("t"))).alias("full"), F.collect_set(F.when(~full, F.col("t"))).alias("short"))
+    pairs = met.where("size(full) > 0 AND size(short) > 0").select(F.explode("full").alias("full"), "short").select("full", F.explode("short").alias("short"))
+    counts = pairs.groupBy("short", "full").agg(F.count("*").alias("n")).groupBy("short").agg(F.sum("n").alias("all"), F.max_by("full", F.struct("n", "full")).alias("full"), F.max("n").alias("n"))
+    bound = max(least, int(rows.count() * SHORT_SHARE))
+    found = counts.where((F.col("n") >= bound) & (F.col("n") >= share * F.col("all"))).select("short", "full").collect()  # at most 1 / SHORT_SHARE
+    return {r["short"]: r["full"] for r in found if r["short"] not in words.titles}
+
+
+def parse_names(df: DataFrame, column: str, given: list[str], short: dict[str, str] | None = None, words: NameWords = NameWords()) -> DataFrame:
     """``df`` with surname, given, initial, middle, suffix of the names in ``column``; rows that name nobody are left out."""
-    parser = df.sparkSession.sparkContext.broadcast(NameParser(given))
+    parser = df.sparkSession.sparkContext.broadcast(NameParser(given, short, words))
     at = df.columns.index(column)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = parser.value.parse
         for batch in it:
-            parsed = [parse(x) for x in batch.column(at).to_pylist()]
-            keep = pa.array([p is not None and p[0] != "" for p in parsed], pa.bool_())
-            rows = [p for p in parsed if p is not None and p[0] != ""]
-            parts = zip(*rows) if rows else [[]] * 5
-            kept = batch.filter(keep)
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(list(c), pa.string()) for c in parts)], names=[*batch.schema.names, "surname", "given", "initial", "middle", "suffix"])
+            # Each spelling of a batch is taken apart once.
+            coded = batch.column(at).dictionary_encode()
+            spelt = [parse(x) for x in coded.dictionary.to_pylist()]
+            spelt = [p if p is not None and p[0] != "" else None for p in spelt]
+            index = coded.indices
+            parts = [pa.array([p[i] if p is not None else None for p in spelt], pa.string()).take(index) for i in range(5)]
+            keep = pc.is_valid(parts[0])
+            out = pa.RecordBatch.from_arrays([*batch.columns, *parts], names=[*batch.schema.names, "surname", "given", "initial", "middle", "suffix"])
+            yield out.filter(keep)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(batches, f"{schema}, surname string, given string, initial string, middle string, suffix string")

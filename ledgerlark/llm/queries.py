@@ -11,7 +11,8 @@ from ledgerlark.llm.matching import match, records
 from ledgerlark.llm.mojibake import find_garbled
 from ledgerlark.llm.tokens import encode_corpus
 from ledgerlark.llm.variants import person_variants, spelling_pairs, tribe_variants
-from ledgerlark.runtime import Kept, table
+from ledgerlark.llm.words import PATENT_NAMES, TRIBE_LABELS
+from ledgerlark.runtime import finished, table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +37,13 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rails = records("patent", table(spark, sf_dir, "rails_patents"), "id", "full_name", "glo_tribe_name", "state", "indian_allotment_number")
-    people = person_variants(rails).select(F.lit("rails_patents.full_name").alias("src"), "id", "entity", "name")
-    tribes = tribe_variants(table(spark, sf_dir, "tribe_crosswalk"), "id", "glo_name").select(F.lit("tribe_crosswalk.glo_name").alias("src"), "id", "entity", "name")
+    people = person_variants(rails, PATENT_NAMES).select(F.lit("rails_patents.full_name").alias("src"), "id", "entity", "name")
+    tribes = tribe_variants(table(spark, sf_dir, "tribe_crosswalk"), "id", "glo_name", TRIBE_LABELS).select(F.lit("tribe_crosswalk.glo_name").alias("src"), "id", "entity", "name")
     return people.unionByName(tribes)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = p1_entities(spark, sf_dir).select("src", "id", F.xxhash64("src", "entity").alias("entity"), "name")
-    both = Kept(entities).df
+    both = finished(lambda: p1_entities(spark, sf_dir))
     out = None
     for src in ("rails_patents.full_name", "tribe_crosswalk.glo_name"):
         one = spelling_pairs(both.where(F.col("src") == src)).select(F.lit(src).alias("src"), "id_a", "id_b")
@@ -54,7 +54,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = records("claim", table(spark, sf_dir, "federal_register_claims"), "id", "allottee_name", "tribe_identified", "state", "allotment_number")
     patents = records("patent", table(spark, sf_dir, "rails_patents"), "id", "full_name", "glo_tribe_name", "state", "indian_allotment_number")
-    return match(claims, patents, "claim", "patent").withColumnsRenamed({"left_id": "claim_id", "right_id": "patent_id"})
+    return finished(lambda: match(claims, patents, "claim", "patent", PATENT_NAMES)).withColumnsRenamed({"left_id": "claim_id", "right_id": "patent_id"})
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     crosswalk, circular = table(spark, sf_dir, "tribe_crosswalk"), table(spark, sf_dir, "circular_2464_records")
     tables = [("tribe_crosswalk.glo_name", crosswalk, "id", "glo_name"), ("tribe_crosswalk.authoritative_tribe", crosswalk, "id", "authoritative_tribe"), ("circular_2464_records.tribe_reservation", circular, "id", "tribe_reservation")]
-    return map_tables(tables, table(spark, sf_dir, "tribe_reference"))
+    return map_tables(tables, table(spark, sf_dir, "tribe_reference"), TRIBE_LABELS)
 
 
 QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p5_found": p5_found, "p2_found": p2_found, "p2_matches": p2_matches, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
