@@ -105,21 +105,6 @@ def flip_names(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, r";\s*"), turn), "; ")
 
 
-def aliquot_kind(a: Column) -> Column:
-    """Kind of a land description: empty, lot, large_lot, qqsec, qsec, half_section or partial."""
-    t = F.trim(F.coalesce(a, F.lit("")))
-    lot = F.regexp_extract(t, "^([0-9]+)(?:[NSEW]{1,2})?$", 1).try_cast("int")
-    return (
-        F.when(t == "", "empty").when(lot <= 16, "lot").when(lot > 16, "large_lot").when(t.rlike("^([NSEW]½)?[NSEW]{4}$"), "qqsec")
-        .when(t.rlike("^([NSEW]½)?[NSEW]{2}$"), "qsec").when(t.rlike("^[NSEW]½$"), "half_section").otherwise("partial")
-    )
-
-
-def clean_number(c: Column) -> Column:
-    """A printed number without commas, currency and footnote marks; null if none is left."""
-    return F.regexp_replace(c, r"[,$\s]|^[a-z*]+|[a-z*]+$", "").try_cast("decimal(18,2)")
-
-
 def any_of(c: Column, patterns: list[str]) -> Column:
     """Whether any of the texts occurs in ``c``, in any case."""
     return reduce(lambda a, b: a | b, [c.ilike(f"%{p}%") for p in patterns])

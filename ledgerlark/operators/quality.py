@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def sequence_gaps(df: DataFrame, key: str, pattern: str = r"^([A-Z]{2})([0-9]+)__\.([0-9]+)$") -> DataFrame:
-    """Rows (state, volume, entries, highest, gap, complete_pct) of keys that number pages of volumes."""
+    """Rows (state, volume, entries, highest, gap, complete_pct) of keys that number pages of volumes; a key entered twice is two entries."""
     part = lambda i: F.nullif(F.regexp_extract(F.trim(F.col(key)), pattern, i), F.lit(""))
     pages = df.select(part(1).alias("state"), part(2).alias("volume"), part(3).try_cast("bigint").alias("page")).where("page IS NOT NULL")
-    out = pages.groupBy("state", "volume").agg(F.countDistinct("page").alias("entries"), F.max("page").alias("highest"))
+    out = pages.groupBy("state", "volume").agg(F.count("*").alias("entries"), F.max("page").alias("highest"))
     return out.select("state", "volume", "entries", "highest", (F.col("highest") - F.col("entries")).alias("gap"), F.round(F.col("entries") * F.lit(100.0) / F.greatest(F.col("highest"), F.lit(1)), 1).alias("complete_pct"))
 
 
@@ -68,17 +68,32 @@ def stop_after_misses(probes: DataFrame, volume: str, page: str, hit: str, misse
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, size: int, seed: str) -> DataFrame:
-    """Exactly ``size`` rows (if there are so many), spread over the strata in proportion, at least one each, by a seeded hash.
+    """Exactly ``size`` rows (all, if there are fewer), spread over the strata in proportion by a seeded hash of the key.
 
-    Quotas are whole parts of the shares; what is left goes to the strata with the largest remainders.
+    A stratum's quota is its share, rounded, and at least 1. While the quotas are too many, the largest gives one back, to 0 at the end
+    where there are more strata than rows; while they are too few, the stratum with the most rows left takes one. Ties go to the
+    smallest stratum. Giving back and taking one by one ends with a common level, which is found by ranking the single places.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    shares = sizes.crossJoin(sizes.agg(F.sum("n").alias("total"), F.count("*").alias("strata")))  # a single row
-    shares = shares.withColumn("exact", F.col("n") * F.lit(float(size)) / F.col("total")).withColumn("quota", F.greatest(F.lit(1), F.floor("exact")).cast("long"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.col("exact") - F.floor("exact")), F.col(stratum).asc_nulls_first())  # one row per stratum
-    given = F.sum("quota").over(Window.partitionBy(F.lit(1)))
-    shares = shares.withColumn("quota", F.col("quota") + (F.row_number().over(w) <= F.lit(size) - given).cast("long"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row per stratum
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("n"))
+    quota = F.least(F.greatest(F.lit(1), F.rint(F.lit(float(size)) * F.col("n") / total)).cast("long"), F.col("n"))
+    quotas = sizes.withColumn("quota", quota).withColumn("given", F.sum("quota").over(Window.partitionBy(F.lit(1))))
+    # A place is given back, or taken, at the level the quota, or the rest, has before it.
+    back = F.when(F.col("given") > size, F.transform(F.sequence(F.lit(1).cast("long"), F.col("quota")), lambda i: F.struct(i.alias("level"), F.lit(-1).alias("step"))))
+    more = F.when((F.col("given") < size) & (F.col("n") > F.col("quota")), F.transform(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - F.col("quota"), F.lit(size).cast("long"))), lambda i: F.struct((F.col("n") - F.col("quota") - i + 1).alias("level"), F.lit(1).alias("step"))))
+    places = quotas.select("_s", "given", F.explode(F.coalesce(back, more)).alias("p")).withColumn("at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("p.level"), F.col("_s").asc_nulls_first())))
+    moved = places.where(F.col("at") <= F.abs(F.col("given") - size)).groupBy(F.col("_s").alias("_m")).agg(F.sum("p.step").alias("moved"))  # at most ``size`` a stratum
+    quotas = quotas.join(moved, F.col("_s").eqNullSafe(F.col("_m")), "left").select("_s", (F.col("quota") + F.coalesce("moved", F.lit(0))).alias("quota")).where("quota > 0")
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    ranked = df.withColumn("_r", F.row_number().over(order))
-    quotas = shares.select(F.col(stratum).alias("_s"), "quota")
-    return ranked.join(F.broadcast(quotas), F.col(stratum).eqNullSafe(F.col("_s"))).where("_r <= quota").drop("_r", "_s", "quota")
+    joined = df.join(F.broadcast(quotas), F.col(stratum).eqNullSafe(F.col("_s")))
+    return joined.withColumn("_r", F.row_number().over(order)).where("_r <= quota").drop("_r", "_s", "quota")
+
+
+def gap_audit(gaps: DataFrame, highest: int = 100, gap: int = 50) -> DataFrame:
+    """Of ``sequence_gaps`` the volumes that reach page ``highest``, with whether ``gap`` or more of their pages are missing."""
+    return gaps.where(F.col("highest") >= highest).withColumn("gappy", F.col("gap") >= gap)
+
+
+def gap_rollup(audit: DataFrame) -> DataFrame:
+    """Rows (state, volumes, gappy, missing) of a ``gap_audit``; missing counts gappy volumes only."""
+    return audit.groupBy("state").agg(F.count("*").alias("volumes"), F.count_if("gappy").alias("gappy"), F.coalesce(F.sum(F.when(F.col("gappy"), F.col("gap"))), F.lit(0)).alias("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.functions.dates import era, parse_date
-from ledgerlark.functions.text import CLAIM_GROUPS, FEE_AUTHORITIES, LOSS_OF_TITLE, TRUST_AUTHORITIES, any_of, blank_to_null, file_references, in_claim_group, patent_class, slugify, strip_zeros
+from ledgerlark.functions.text import CLAIM_GROUPS, FEE_AUTHORITIES, FILE_REFERENCE, LOSS_OF_TITLE, TRUST_AUTHORITIES, any_of, blank_to_null, file_references, in_claim_group, patent_class, slugify, strip_zeros
 from ledgerlark.functions.trigram import similar_pairs, similarity, span_similarity
 from ledgerlark.operators.search import SearchSpec, facet, name_search, search
 from ledgerlark.operators.stats import dominant, timeline
@@ -283,7 +283,7 @@ def file_ref_cohort(spark: SparkSession, d: str) -> DataFrame:
     return cohort.groupBy(F.col("file_ref_id").cast("long").alias("ref_id")).agg(F.count("*").alias("patents"), F.countDistinct("state").alias("states"), F.countDistinct("authority").alias("authorities"), F.min("signature_date").alias("first_date"), F.max("signature_date").alias("last_date"), F.count_if("cancelled_doc").alias("cancelled"))
 
 
-_FILE_RE = "(?i)((?:ADDI?TIONAL\\s+)?(?:I\\.?\\s*O\\.?|B\\.?\\s*I\\.?\\s*A\\.?|DOCUMENT))\\s*#?\\s*([0-9]{4,6})-([0-9]{2})\\b"
+_FILE_RE = FILE_REFERENCE.replace("'", "''")
 
 
 @query(f"""WITH m AS (SELECT CAST(id AS BIGINT) AS id, unnest(regexp_extract_all(remarks, '{_FILE_RE}', 0)) AS matched FROM rails_patents WHERE remarks IS NOT NULL),
@@ -294,24 +294,11 @@ def file_refs_from_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "r.matched", "r.label", "r.letter", F.col("r.year").cast("long").alias("year"))
 
 
-@query("""SELECT CAST(id AS BIGINT) AS id, field, regexp_extract(v, '^([0-9]{1,6})-([0-9]{2,4})$', 1) AS letter FROM (SELECT id, 'document_number' AS field, trim(document_number, ' ') AS v FROM rails_patents UNION ALL SELECT id, 'accession_number', trim(accession_number, ' ') FROM rails_patents) WHERE regexp_matches(v, '^[0-9]{1,6}-[0-9]{2,4}$')""")
-def structured_refs(spark: SparkSession, d: str) -> DataFrame:
-    pattern = "^([0-9]{1,6})-([0-9]{2,4})$"
-    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.trim(c).alias("v")) for c in ("document_number", "accession_number")])
-    return _rails(spark, d).select(F.col("id").cast("long").alias("id"), F.explode(cells).alias("c")).where(F.col("c.v").rlike(pattern)).select("id", "c.field", F.regexp_extract("c.v", pattern, 1).alias("letter"))
-
-
 @query("""SELECT state, glo_tribe_name AS label, CAST(n AS BIGINT) AS n FROM (SELECT state, glo_tribe_name, count(*) AS n, row_number() OVER (PARTITION BY state ORDER BY count(*) DESC, glo_tribe_name) AS rn FROM rails_patents WHERE state IS NOT NULL AND glo_tribe_name IS NOT NULL GROUP BY 1, 2) WHERE rn = 1""")
 def dominant_mapping(spark: SparkSession, d: str) -> DataFrame:
     return dominant(_rails(spark, d), "state", "glo_tribe_name").withColumnRenamed("glo_tribe_name", "label")
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, accession_number, source FROM (SELECT id, accession_number, 'mapped' AS source, 1 AS r FROM rails_patents_cloud WHERE id = 17 UNION ALL SELECT id, accession_number, 'catalogue', 2 FROM rails_patents WHERE id = 17) QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1")
-def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    both = [table(spark, d, t).where("id = 17").select(F.col("id").cast("long").alias("id"), "accession_number", F.lit(s).alias("source"), F.lit(r).alias("r")) for r, (t, s) in enumerate((("rails_patents_cloud", "mapped"), ("rails_patents", "catalogue")))]
-    return first_per_key(both[0].unionByName(both[1]), ["id"], F.col("r")).drop("r")
-
-
 @query("""SELECT CAST(id AS BIGINT) AS id, CAST(count(*) OVER (PARTITION BY state, indian_allotment_number) - 1 AS BIGINT) AS others FROM rails_patents WHERE indian_allotment_number IS NOT NULL AND state IS NOT NULL""")
 def patent_dossier_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = _rails(spark, d).where("indian_allotment_number IS NOT NULL AND state IS NOT NULL")

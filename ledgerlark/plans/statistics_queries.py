@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ledgerlark.functions.dates import fix_century, parse_date
 from ledgerlark.functions.geo import POLYGONS, feature, haversine_km, polygons_center, ring_center
-from ledgerlark.functions.text import FEE_AUTHORITIES, TRUST_AUTHORITIES, aliquot_kind, blank_to_null, clean_number, flip_names, patent_class
+from ledgerlark.functions.text import FEE_AUTHORITIES, TRUST_AUTHORITIES, blank_to_null, flip_names, patent_class
 from ledgerlark.operators.quality import agreement, field_tallies, sequence_gaps, stop_after_misses, stratified_sample, symmetric_difference, violations
 from ledgerlark.operators.reshape import melt, reconcile, row_sum, signed_split, surrogate_ids
 from ledgerlark.operators.stats import cumulative, flow, positional_quantiles, timeline, variation
@@ -14,7 +13,7 @@ from ledgerlark.operators.unify import first_per_key
 from ledgerlark.plans.catalogue_queries import _CLOUD, _FEE, _TRUST, _cloud
 from ledgerlark.plans.registry import Registry
 from ledgerlark.runtime import table
-from ledgerlark.sources.readers import document_records, html_field, html_rows, loose_value, tolerant_json
+from ledgerlark.sources.readers import document_records, html_escaped, html_field, html_rows, loose_value, tolerant_json
 from ledgerlark.sources.sinks import append_new, null_fill, relabel, upsert
 from ledgerlark.streaming.events import once, sessions, tumbling
 
@@ -217,7 +216,7 @@ def rebuild_column_diff(spark: SparkSession, d: str) -> DataFrame:
 _PAGES = "(SELECT regexp_extract(trim(accession_number, ' '), '^([A-Z]{2})([0-9]+)__\\.([0-9]+)$', 1) AS state, regexp_extract(trim(accession_number, ' '), '^([A-Z]{2})([0-9]+)__\\.([0-9]+)$', 2) AS volume, CAST(regexp_extract(trim(accession_number, ' '), '^([A-Z]{2})([0-9]+)__\\.([0-9]+)$', 3) AS BIGINT) AS page FROM rails_patents WHERE regexp_full_match(trim(accession_number, ' '), '[A-Z]{2}[0-9]+__\\.[0-9]+'))"
 
 
-@query(f"SELECT state, volume, CAST(count(DISTINCT page) AS BIGINT) AS entries, max(page) AS highest, max(page) - count(DISTINCT page) AS gap, round(count(DISTINCT page) * 100.0 / greatest(max(page), 1), 1) AS complete_pct FROM {_PAGES} GROUP BY 1, 2")
+@query(f"SELECT state, volume, CAST(count(*) AS BIGINT) AS entries, max(page) AS highest, max(page) - count(*) AS gap, round(count(*) * 100.0 / greatest(max(page), 1), 1) AS complete_pct FROM {_PAGES} GROUP BY 1, 2")
 def sequence_gap_audit(spark: SparkSession, d: str) -> DataFrame:
     return sequence_gaps(_rails(spark, d), "accession_number")
 
@@ -304,10 +303,12 @@ def consecutive_miss_stop(spark: SparkSession, d: str) -> DataFrame:
     return stop_after_misses(probes, "volume", "page", "hit", 5)
 
 
-@query("""WITH s AS (SELECT state, count(*) AS n FROM rails_patents GROUP BY 1), q AS (SELECT state, n * 300.0 / (SELECT sum(n) FROM s) AS e, greatest(1, floor(n * 300.0 / (SELECT sum(n) FROM s))) AS q0 FROM s),
-q2 AS (SELECT state, q0 + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, state NULLS FIRST) <= 300 - (SELECT sum(q0) FROM q) THEN 1 ELSE 0 END AS quota FROM q),
+@query("""WITH s AS (SELECT state, count(*) AS n FROM rails_patents GROUP BY 1), q AS (SELECT state, n, least(n, greatest(1, CAST(round_even(n * 300.0 / (SELECT sum(n) FROM s), 0) AS BIGINT))) AS q FROM s), g AS (SELECT sum(q) AS g FROM q),
+p AS (SELECT state, -1 AS step, unnest(range(1, q + 1)) AS level FROM q WHERE (SELECT g FROM g) > 300 UNION ALL SELECT state, 1, n - q + 1 - unnest(range(1, least(n - q, 300) + 1)) FROM q WHERE (SELECT g FROM g) < 300 AND n > q),
+m AS (SELECT state, sum(step) AS m FROM (SELECT * FROM p QUALIFY row_number() OVER (ORDER BY level DESC, state NULLS FIRST) <= abs((SELECT g FROM g) - 300)) GROUP BY 1),
+z AS (SELECT q.state, q.q + coalesce(m.m, 0) AS quota FROM q LEFT JOIN m ON q.state IS NOT DISTINCT FROM m.state),
 r AS (SELECT CAST(id AS BIGINT) AS id, state, row_number() OVER (PARTITION BY state ORDER BY md5('7' || CAST(id AS VARCHAR)), id) AS rn FROM rails_patents)
-SELECT r.id, r.state FROM r JOIN q2 ON r.state IS NOT DISTINCT FROM q2.state WHERE rn <= quota""")
+SELECT r.id, r.state FROM r JOIN z ON r.state IS NOT DISTINCT FROM z.state WHERE rn <= quota""")
 def stratified_300(spark: SparkSession, d: str) -> DataFrame:
     return stratified_sample(_rails(spark, d).select(F.col("id").cast("long").alias("id"), "state"), "id", "state", 300, "7")
 
@@ -317,33 +318,11 @@ def seeded_draw(spark: SparkSession, d: str) -> DataFrame:
     return _rails(spark, d).select(F.col("id").cast("long").alias("id")).orderBy(F.md5(F.concat(F.lit("seed"), F.col("id").cast("string"))), "id").limit(100)
 
 
-@query("""SELECT CAST(id AS BIGINT) AS id, CASE WHEN year(d) >= 2000 THEN CAST(d - INTERVAL 100 YEAR AS DATE) ELSE d END AS fixed FROM (SELECT id, try_cast(CASE WHEN regexp_full_match(trim(fee_patent_date, ' '), '\\d{4}-\\d{2}-\\d{2}') THEN trim(fee_patent_date, ' ') END AS DATE) AS d FROM circular_2464_records) WHERE d IS NOT NULL""")
-def century_fix(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "circular_2464_records").select(F.col("id").cast("long").alias("id"), fix_century(parse_date(F.when(F.trim("fee_patent_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("fee_patent_date")))).alias("fixed"))
-    return rows.where("fixed IS NOT NULL")
-
-
 @query("""SELECT CAST(id AS BIGINT) AS id, array_to_string(list_transform(string_split_regex(allottee_name, ';\\s*'), lambda p: trim(CASE WHEN contains(p, ',') THEN trim(regexp_extract(p, '^[^,]*,(.*)$', 1), ' ') || ' ' || trim(regexp_extract(p, '^([^,]*),', 1), ' ') ELSE p END, ' ')), '; ') AS flipped FROM federal_register_claims WHERE allottee_name IS NOT NULL""")
 def name_flip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "federal_register_claims").where("allottee_name IS NOT NULL").select(F.col("id").cast("long").alias("id"), flip_names(F.col("allottee_name")).alias("flipped"))
 
 
-@query("""WITH t AS (SELECT id, regexp_extract(remarks, '^\\s*([NSEW]) 1/2', 1) || '½' AS a FROM rails_patents WHERE regexp_matches(remarks, '^\\s*[NSEW] 1/2') UNION ALL SELECT id, trim(regexp_extract(coalesce(document_number, ''), '^[0-9]+'), ' ') FROM rails_patents)
-SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN a = '' THEN 'empty' WHEN try_cast(regexp_extract(a, '^([0-9]+)(?:[NSEW]{1,2})?$', 1) AS INTEGER) <= 16 THEN 'lot' WHEN try_cast(regexp_extract(a, '^([0-9]+)(?:[NSEW]{1,2})?$', 1) AS INTEGER) > 16 THEN 'large_lot'
-WHEN regexp_full_match(a, '([NSEW]½)?[NSEW]{4}') THEN 'qqsec' WHEN regexp_full_match(a, '([NSEW]½)?[NSEW]{2}') THEN 'qsec' WHEN regexp_full_match(a, '[NSEW]½') THEN 'half_section' ELSE 'partial' END AS kind FROM t) GROUP BY 1""")
-def aliquot_classes(spark: SparkSession, d: str) -> DataFrame:
-    p = _rails(spark, d)
-    halves = p.where(F.col("remarks").rlike(r"^\s*[NSEW] 1/2")).select(F.concat(F.regexp_extract("remarks", r"^\s*([NSEW]) 1/2", 1), F.lit("½")).alias("a"))
-    lots = p.select(F.regexp_extract(F.coalesce("document_number", F.lit("")), "^([0-9]+)", 1).alias("a"))
-    return halves.unionByName(lots).groupBy(aliquot_kind(F.col("a")).alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT CAST(id AS BIGINT) AS id, CAST(try_cast(regexp_replace(regexp_extract(occupation_income, '\\$?([0-9,]+)', 1), ',', '', 'g') AS DECIMAL(18,2)) AS DOUBLE) AS income FROM circular_2464_records WHERE regexp_matches(occupation_income, '[0-9]')")
-def printed_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "circular_2464_records").where(F.col("occupation_income").rlike("[0-9]"))
-    return rows.select(F.col("id").cast("long").alias("id"), clean_number(F.regexp_extract("occupation_income", r"(\$?[0-9,]+)", 1)).cast("double").alias("income"))
-
-
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count("*").alias("n"))
@@ -357,10 +336,10 @@ def json_notes_explode(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("document_id").cast("long").alias("id"), "type", "date")
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, nullif(trim(regexp_replace(full_name, '\\s+', ' ', 'g'), ' '), '') AS name, land_office AS cell FROM rails_patents WHERE trim(full_name, ' ') <> '' AND land_office IS NOT NULL AND NOT regexp_matches(full_name, '[<>&]')")
+@query("SELECT CAST(id AS BIGINT) AS id, nullif(trim(regexp_replace(full_name, '\\s+', ' ', 'g'), ' '), '') AS name, land_office AS cell FROM rails_patents WHERE trim(full_name, ' ') <> '' AND land_office IS NOT NULL")
 def pages_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rails(spark, d).where("trim(full_name) != '' AND land_office IS NOT NULL").where(~F.col("full_name").rlike("[<>&]"))
-    page = F.concat(F.lit('<div id="names">'), F.col("full_name"), F.lit('</div><table><tr><td colspan="2">office</td></tr><tr><td>x</td><td><b>'), F.col("land_office"), F.lit("</b></td></tr></table>"))
+    rows = _rails(spark, d).where("trim(full_name) != '' AND land_office IS NOT NULL")
+    page = F.concat(F.lit('<div id="names">'), html_escaped(F.col("full_name")), F.lit('</div><table><tr><td colspan="2">office</td></tr><tr><td>x</td><td><b>'), F.col("land_office"), F.lit("</b></td></tr></table>"))
     return rows.select(F.col("id").cast("long").alias("id"), html_field(page, "names").alias("name"), F.element_at(F.element_at(html_rows(page), 2), 2).alias("cell"))
 
 

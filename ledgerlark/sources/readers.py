@@ -49,20 +49,27 @@ def loose_value(c: Column, key: str) -> Column:
     return F.coalesce(F.get_json_object(c, f"$.{key}"), F.nullif(F.regexp_extract(c, rf"['\"]?{key}['\"]?\s*[:=]\s*['\"]?([^,'\"}}]+)", 1), F.lit("")))
 
 
+def _unescaped(c: Column) -> Column:
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return c
+
+
+def html_escaped(c: Column) -> Column:
+    """Text as it stands in a page."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
 def html_field(c: Column, element: str) -> Column:
     """Text of the element with an id: line breaks to '; ', tags dropped, dashes for nothing to null."""
     inner = F.regexp_extract(c, rf"(?is)id=\"{element}\"[^>]*>(.*?)</(?:td|div|span)>", 1)
     text = F.regexp_replace(F.regexp_replace(inner, r"(?i)<br\s*/?>", "; "), "<[^>]+>", "")
-    text = F.trim(F.regexp_replace(F.replace(F.replace(text, F.lit("&amp;"), F.lit("&")), F.lit("&nbsp;"), F.lit(" ")), r"\s+", " "))
+    text = F.trim(F.regexp_replace(_unescaped(text), r"\s+", " "))
     return F.when(~text.rlike("^-*$"), text)
 
 
-def html_missing(c: Column) -> Column:
-    """Whether a page says that nothing was found."""
-    low = F.lower(c)
-    return low.contains("no results") | low.contains("not found") | low.contains("does not exist")
-
-
 def html_rows(c: Column) -> Column:
     """Rows of cells of the tables in a page; a cell that spans columns is repeated."""
     cells = lambda row: F.flatten(F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh][^>]*>.*?</t[dh]>"), F.lit(0)), _spanned))
@@ -72,3 +79,42 @@ def html_rows(c: Column) -> Column:
 def _spanned(cell: Column) -> Column:
     span = F.coalesce(F.regexp_extract(cell, r"(?i)colspan=\"?([0-9]+)", 1).try_cast("int"), F.lit(1))
     return F.array_repeat(F.trim(F.regexp_replace(cell, "<[^>]+>", "")), span)
+
+
+def spreadsheet_rows(df: DataFrame, names: list[str], number: str = "source_row") -> DataFrame:
+    """An exported sheet's positional columns under their names, trimmed, without rows that are blank throughout; ``number``, a column of ``df``, stays."""
+    columns = [c for c in df.columns if c != number]
+    cells = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(n) for c, n in zip(columns, names)]
+    return df.select(F.col(f"`{number}`"), *cells).where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
+
+
+def wanted_rows(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of a bulk file whose key is wanted; what isn't leaves with the scan's join."""
+    return df.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
+def model_outputs(df: DataFrame, text: str, key: str, at: str) -> DataFrame:
+    """Rows (key, output) of files that hold one model output or a list of them, as JSON; of a key's several the last, by ``at`` and place, stays."""
+    record = F.col(text)
+    many = F.from_json(record, "array<string>")
+    rows = F.when(F.ltrim(record).startswith("["), many).otherwise(F.array(record))
+    out = df.select(F.col(at).alias("_at"), F.posexplode(rows).alias("_pos", "output")).withColumn(key, F.get_json_object("output", f"$.{key}")).where(F.col(key).isNotNull())
+    return out.groupBy(key).agg(F.max_by("output", F.struct("_at", "_pos")).alias("output"))
+
+
+def feature_rows(df: DataFrame, text: str, attributes: T.StructType, millis: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*attributes, lon, lat, geometry) of feature JSON: epoch milliseconds become dates, rings a Polygon and x, y a Point; no geometry is null."""
+    xy = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y")])
+    shape = T.StructType([*xy.fields, T.StructField("rings", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
+    schema = T.StructType([T.StructField("attributes", attributes), T.StructField("centroid", xy), T.StructField("geometry", shape)])
+    f = df.select(F.from_json(text, schema).alias("f")).where("f.attributes IS NOT NULL")
+    fields = [(F.timestamp_millis(F.col(f"f.attributes.{n}")).cast("date") if n in millis else F.col(f"f.attributes.{n}")).alias(n) for n in attributes.names]
+    g = F.col("f.geometry")
+    json = lambda kind, coordinates: F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+    geometry = F.when(g["rings"].isNotNull(), json("Polygon", g["rings"])).when(g["x"].isNotNull() & g["y"].isNotNull(), json("Point", F.array(g["x"], g["y"])))
+    return f.select(*fields, F.col("f.centroid.x").alias("lon"), F.col("f.centroid.y").alias("lat"), geometry.alias("geometry"))
+
+
+def load_share(found: int, expected: int, enough: float = 0.95) -> bool:
+    """Whether so much of a source is loaded that loading it again can be skipped."""
+    return expected > 0 and found >= enough * expected

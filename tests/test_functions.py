@@ -8,8 +8,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from ledgerlark.functions import dates, geo, text, trigram
-from ledgerlark.operators import linkage, quality, reshape, search, stats, unify
+from ledgerlark.functions import dates, geo, records, text, trigram
+from ledgerlark.operators import bridge, linkage, quality, reshape, search, stats, unify
 from ledgerlark.sources import readers, sinks
 from ledgerlark.streaming import events
 
@@ -41,7 +41,7 @@ def test_file_references(spark):
 
 @pytest.mark.parametrize("a, kind", [("NESW", "qqsec"), ("NE", "qsec"), ("12", "lot"), ("142", "large_lot"), ("1NE", "lot"), ("S½NE", "qsec"), ("W½SWSE", "qqsec"), ("N½", "half_section"), ("N½N½SE", "partial"), ("", "empty"), (None, "empty")])
 def test_aliquot(spark, a, kind):
-    assert one(spark, a, text.aliquot_kind) == kind
+    assert one(spark, a, records.aliquot)[0] == kind
 
 
 def test_names_and_keys(spark):
@@ -49,7 +49,6 @@ def test_names_and_keys(spark):
     assert one(spark, " O'Neil & Sons ", text.slugify) == "oneil-sons"
     assert one(spark, "0123456", text.key_variants)[:3] == ["0123456", "123456", "00123456"]
     assert one(spark, "LIZZIE DOWD-JR. MRS X", text.name_tokens) == ["LIZZIE", "DOWD"]
-    assert str(one(spark, "$1,234.50*", text.clean_number)) == "1234.50"
 
 
 def test_trigrams(spark):
@@ -181,3 +180,79 @@ def test_similarity_bounds(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     ab, ba = df.select(trigram.similarity(F.col("a"), F.col("b")), trigram.similarity(F.col("b"), F.col("a"))).first()
     assert ab == ba and 0 <= ab <= 1
+
+
+@pytest.mark.parametrize(
+    "f, given, want",
+    [
+        ("footnoted_count", "22 34,380,726", 34380726), ("footnoted_count", "3 512", 512), ("footnoted_count", "1,204 a", 1204), ("footnoted_count", "—", None), ("footnoted_count", "0", 0), ("footnoted_count", "", None), ("footnoted_count", None, None),
+        ("tailnoted_number", "1,234.5 2", 1234.5), ("tailnoted_number", "0", None), ("tailnoted_number", "No answer", None), ("tailnoted_number", "12a", None), ("money", "$1,234.50", 1234.5), ("money", "0", 0.0), ("money", "…", None),
+        ("agency_name", " Fort Hall consolidated 1", "Fort Hall"), ("leading_year", "1909 4", 1909), ("leading_year", "about 1909", None), ("page_says_missing", "<p>No records found.</p>", True), ("page_says_missing", "It could NOT be located", True),
+        ("page_says_missing", "Object reference not set to", True), ("page_says_missing", "object reference not set to", False), ("page_says_missing", "the page was not found", False), ("page_says_missing", "A document does not exist in our database that", True),
+        ("authority_name", "February 8, 1887: Indian Allotment - General (24 Stat. 388)", "Indian Allotment - General"), ("authority_name", "Indian Fee Patent (Heir)", None), ("reservation_core", "Coeur d'Alene (A.): Nez Perce (R.)", "Nez Perce"),
+        ("reservation_core", "Crow (A. and R.)", "Crow"), ("reservation_core", "Crow", "Crow"), ("io_label", "ADDITIONAL I. O.", "yes"), ("io_label", "B BIA", "unknown"), ("io_label", "x", None), ("document_part", "Part12_x", 12), ("document_kind", "part1_Ledger_Entry_3", "ledger"),
+        ("document_kind", None, "unknown"), ("cancellation_reason", "Refused; issued w/o application", "issued_without_application_and_acceptance_refused"), ("cancellation_reason", "1927 and 1931 Acts", "1927_and_1931_acts"), ("cancellation_reason", "Act of 1931", "1931_act"),
+        ("cancellation_reason", " ", None), ("cancellation_reason", "lost", "other"), ("cancellation_reason", None, None), ("linked_remarks", "SEE NR 12", "SEE NR 12"),
+    ],
+)
+def test_records(spark, f, given, want):
+    assert one(spark, given, getattr(records, f)) == want
+
+
+@pytest.mark.parametrize("a, value", [("NESW", "NESW"), ("12", "12"), ("1NE", "1"), ("S½NE", "NE"), ("W½SWSE", "SWSE"), ("N½", "N½"), ("N½N½SE", "N½N½SE"), ("", None), ("007", "007")])
+def test_aliquot_value(spark, a, value):
+    assert one(spark, a, records.aliquot)[1] == value
+
+
+def test_record_keys(spark):
+    df = spark.createDataFrame([("OK", "17", "10", "N", "3", "E", "26")], "s string, m string, t string, td string, r string, rd string, c string")
+    assert df.select(records.section_key(*[F.col(c) for c in df.columns])).first()[0] == "OK170100N0030E0SN260"
+    pad = lambda v: one(spark, v, lambda c: records.padded(c, 3))
+    assert [pad("3.0"), pad("12345"), pad("x"), pad(None)] == ["003", "12345", "", ""]
+    assert tuple(one(spark, " 1007-37 ", records.reference_key)) == ("1007", "37", None) and tuple(one(spark, "42", records.reference_key)) == (None, None, 42)
+    url = lambda c: one(spark, c, lambda x: records.record_url(F.lit("A1"), x)).rsplit("=", 1)[1]
+    assert [url("State Land Patent"), url("IA"), url("An unknown class"), url("")] == ["STA", "IA", "SER", "SER"] and one(spark, "", lambda c: records.record_url(c, c)) is None
+    assert 'accession=75921&' in one(spark, "SEE NR. 75921 AND 1234", records.linked_remarks)
+
+
+@pytest.mark.parametrize("sizes, n", [([50] * 20, 10), ([1] * 20, 10), ([500, 3, 1, 1], 50), ([7, 7, 7], 30), ([10, 20, 30, 40], 33), ([999, 1], 4), ([5], 5)])
+def test_stratified_sample_is_exact(spark, sizes, n):
+    """As giving back and taking places one by one does; never more rows than asked for, never fewer than there are."""
+    rows = [(f"s{i:02}" if i else None, f"{i}-{k}") for i, size in enumerate(sizes) for k in range(size)]
+    got = quality.stratified_sample(spark.createDataFrame(rows, "s string, k string"), "k", "s", n, "seed")
+    drawn = {r["s"]: r["n"] for r in got.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert sum(drawn.values()) == min(n, sum(sizes))
+    size = {f"s{i:02}" if i else None: s for i, s in enumerate(sizes)}
+    quota = {s: min(k, max(1, round(n * k / sum(sizes)))) for s, k in size.items()}
+    first = lambda s: s or ""
+    while sum(quota.values()) > n:
+        quota[min(quota, key=lambda s: (-quota[s], first(s)))] -= 1
+    while sum(quota.values()) < min(n, sum(sizes)):
+        quota[min(quota, key=lambda s: (quota[s] - size[s], first(s)))] += 1
+    assert drawn == {s: q for s, q in quota.items() if q}
+
+
+def test_bridge(spark, rows):
+    claims = spark.createDataFrame([(1, "0012", "ANN"), (2, "12", "BEN"), (3, None, "ANN"), (4, "7", None)], "id int, case_number string, allottee_name string")
+    links = spark.createDataFrame([("12", "ANN", "A1"), ("012", "ANN", "A2"), (None, "ANN", "A3"), ("7", None, "A4")], "bridge_case string, bridge_name string, accession string")
+    assert rows(bridge.bridge_join(claims, links).select("id", "accession")) == [(1, "A1"), (1, "A2"), (2, None), (3, None), (4, None)]
+    assert bridge.bridge_join(claims, links, "inner").count() == 2 and bridge.bridge_join(claims, links.limit(0), "inner").count() == 0
+
+
+def test_reservation_match(spark, rows):
+    labels = spark.createDataFrame([("Crow (A. and R.)", "Crow"), ("Nez", "Nez"), ("Fort Something", "Fort Something"), ("Wind Cave", "Wind Cave"), ("skip", "skip"), ("zzz", "zzz"), ("Big Crow Creek", "Big Crow Creek")], "label string, core string")
+    names = spark.createDataFrame([("Crow", 5), ("Nez Perce", 3), ("Fort Hall", 2), ("Fort Peck", 2), ("Wind River", 9), ("Crow Creek", 7)], "name string, n int")
+    got = {r["label"]: (r["name"], r["method"]) for r in bridge.match_reservations(labels, names, {"skip": None}).collect()}
+    assert got == {"Crow (A. and R.)": ("Crow Creek", "substring"), "Nez": ("Nez Perce", "substring"), "Fort Something": (None, "unmatched"), "Wind Cave": ("Wind River", "first_word"), "skip": (None, "no_match"), "zzz": (None, "unmatched"), "Big Crow Creek": ("Crow Creek", "substring")}
+
+
+def test_feature_and_output_readers(spark, rows):
+    text = ['{"attributes": {"k": 1, "d": -86400000}, "centroid": {"x": 1.5, "y": 2}, "geometry": {"rings": [[[0, 0], [1, 0], [0, 0]]]}}', '{"attributes": {"k": 2}, "geometry": {"x": 3, "y": 4}}', '{"attributes": {"k": 3}}', "broken", None]
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("d", T.LongType())])
+    got = rows(readers.feature_rows(spark.createDataFrame([(t,) for t in text], "t string"), "t", schema, ("d",)))
+    assert [(r[0], str(r[1]), r[2]) for r in got] == [(1, "1969-12-31", 1.5), (2, "None", None), (3, "None", None)] and "Polygon" in got[0][4] and "Point" in got[1][4] and got[2][4] is None
+    files = spark.createDataFrame([(1, '[{"a": "x", "v": 1}, {"a": "y", "v": 2}]'), (2, '{"a": "x", "v": 3}'), (3, "no json"), (4, None)], "f int, t string")
+    assert {r["a"]: r["output"] for r in readers.model_outputs(files, "t", "a", "f").collect()} == {"x": '{"a": "x", "v": 3}', "y": '{"a":"y","v":2}'}
+    assert readers.load_share(95, 100) and not readers.load_share(94, 100) and not readers.load_share(0, 0)
+    sheet = spark.createDataFrame([(1, " a ", ""), (2, "", " "), (3, None, "b")], "source_row int, _c0 string, _c1 string")
+    assert rows(readers.spreadsheet_rows(sheet, ["x", "y"])) == [(1, "a", None), (3, None, "b")]
