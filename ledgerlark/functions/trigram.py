@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -31,6 +34,20 @@ def similarity(a: Column, b: Column) -> Column:
     return overlap(trigrams(a), trigrams(b))
 
 
+def may_reach(c: Column, query: str, threshold: float) -> Column:
+    """Whether a text holds enough of the query's trigrams, wherever, to reach a similarity of ``threshold``; cheap, and never false for one that does.
+
+    Two sets with that similarity share at least that part of either. A trigram with a word's end counts if its letters occur at all.
+    """
+    grams = {f"  {w} "[i : i + 3].strip() for w in re.findall(r"[^\W_]+", query.lower()) for i in range(len(w) + 1)}
+    sets = len({f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", query.lower()) for i in range(len(w) + 1)})
+    low = F.lower(c)
+    held = [low.contains(g).cast("int") for g in sorted(grams)]
+    # Trigrams that differ by blanks only are counted once here, so they count for nothing in the need.
+    need = math.ceil(threshold * sets - 1e-9) - (sets - len(grams))
+    return F.coalesce(sum(held[1:], held[0]) >= need, F.lit(False)) if held and need > 0 else c.isNotNull()
+
+
 def span_similarity(query: Column, text: Column) -> Column:
     """Highest similarity of ``query`` to a run of whole words of ``text``."""
     w = words(text)

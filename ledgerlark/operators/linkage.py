@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerlark.functions.segments import kept_keys, sought_keys
 from ledgerlark.functions.text import fee_references, key_variants, name_tokens
 from ledgerlark.operators.unify import first_per_key
 
@@ -28,14 +29,23 @@ def match_cascade(refs: DataFrame, targets: DataFrame, ref: str, key: str, id_co
 def fuzzy_blocked(left: DataFrame, right: DataFrame, most: int = 2, block_tokens: int = 2) -> DataFrame:
     """Rows (id, target, distance): for rows (id, key, name, state) the target whose key is closest within ``most`` edits.
 
-    Candidates share one of their first ``block_tokens`` sorted name tokens, and their states agree where both are known.
+    Candidates share one of their first ``block_tokens`` sorted name tokens, and their states agree where both are known. The
+    join is by token and a segment of the key, of which keys so close share one: so a token that many names hold, a given name, makes no
+    pairs of keys that lie far apart.
     """
     blocks = lambda n: F.explode(F.slice(F.array_sort(name_tokens(F.col(n), stops=False)), 1, block_tokens))
     a = left.select("id", "key", "state", blocks("name").alias("block"))
     b = right.select(F.col("id").alias("target"), F.col("key").alias("key2"), F.col("state").alias("state2"), blocks("name").alias("block"))
-    pairs = a.join(b, "block").where((F.col("id") != F.col("target")) & F.coalesce(F.col("state") == F.col("state2"), F.lit(True)))
+    x = a.withColumn("k", F.explode(sought_keys(F.col("key"), [F.col("block")], most))).drop("block")
+    y = b.withColumn("k", F.explode(kept_keys(F.col("key2"), [F.col("block")], most))).drop("block")
+    longer = x.join(y, "k").drop("k")
+    # Targets with the longer key look for the others.
+    x = a.withColumn("k", F.explode(kept_keys(F.col("key"), [F.col("block")], most))).drop("block")
+    y = b.withColumn("k", F.explode(sought_keys(F.col("key2"), [F.col("block")], most, tuple(range(1, most + 1))))).drop("block")
+    pairs = longer.unionByName(x.join(y, "k").drop("k")).where((F.col("id") != F.col("target")) & F.coalesce(F.col("state") == F.col("state2"), F.lit(True)))
     pairs = pairs.withColumn("distance", F.levenshtein("key", "key2", most)).where("distance >= 0")
-    return first_per_key(pairs.select("id", "target", "distance").distinct(), ["id"], F.col("distance"), F.col("target"))
+    closest = pairs.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("m"))
+    return closest.select("id", "m.target", "m.distance")
 
 
 def composite_links(trust: DataFrame, fee: DataFrame, keys: list[str], date: str, name: str) -> DataFrame:
@@ -61,3 +71,17 @@ def tiered_pick(candidates: DataFrame, key: str, label: str, *order: Column) ->
     w = Window.partitionBy(key)
     flagged = candidates.withColumn("labels", F.size(F.collect_set(label).over(w)))
     return first_per_key(flagged, [key], *order).withColumn("disagree", F.col("labels") > 1).drop("labels")
+
+
+def evidence_tier(pairs: DataFrame, key: str, label: str, similarity: str, parcel: str, date: str, tie: str) -> DataFrame:
+    """Rows (key, tier, label, sibling): the best evidence for each record's label among pairs with records that have one.
+
+    'disagreement' if the pairs name several labels; T1: the same name and parcel, the earliest; T2: a similarity of 0.7 or more and
+    the same parcel, the most similar, then the earliest; both with the label. T3: the same parcel; T4: the same name; T5: neither; these without.
+    """
+    s, same = F.round(F.col(similarity), 6), F.coalesce(F.col(parcel), F.lit(False))
+    tier = F.when(same & (s == 1), 1).when(same & (s >= 0.7), 2).when(same, 3).when(s == 1, 4).otherwise(5)
+    rank = F.struct(tier.alias("tier"), F.when(tier == 2, -s).otherwise(F.lit(0.0)).alias("sim"), F.col(date).isNull().alias("undated"), F.col(date).alias("date"), F.col(tie).alias("tie"))
+    best = pairs.groupBy(key).agg(F.min(rank).alias("r"), F.min_by(label, rank).alias("l"), (F.min(label) != F.max(label)).alias("several"))
+    sure = ~F.col("several") & (F.col("r.tier") <= 2)
+    return best.select(key, F.when(F.col("several"), "disagreement").otherwise(F.concat(F.lit("T"), F.col("r.tier"))).alias("tier"), F.when(sure, F.col("l")).alias("label"), F.when(sure, F.col("r.tie")).alias("sibling"))

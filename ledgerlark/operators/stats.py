@@ -27,6 +27,21 @@ def flow(stages: DataFrame, links: list[tuple[str, str, str]]) -> DataFrame:
     return stages.select(F.explode(rows).alias("l")).select("l.source", "l.target", "l.value").where("value > 0")
 
 
+def flow_nodes(links: DataFrame) -> DataFrame:
+    """Nodes (node, outflow, inflow) that a link reaches; nodes without any are no part of the network."""
+    ends = F.array(*[F.struct(F.col(c).alias("node"), F.when(F.lit(c == "source"), F.col("value")).alias("out"), F.when(F.lit(c == "target"), F.col("value")).alias("in")) for c in ("source", "target")])
+    sums = links.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.out").alias("o"), F.sum("e.in").alias("i"))
+    return sums.select("node", F.coalesce("o", F.lit(0)).alias("outflow"), F.coalesce("i", F.lit(0)).alias("inflow"))
+
+
+def top_counts(df: DataFrame, keys: list[str], fields: list[str], k: int) -> DataFrame:
+    """Rows (*keys, field, value, n, place): the ``k`` most frequent non-blank values of each field, the smaller first where tied; one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("c")
+    counts = df.select(*keys, cells).where(F.trim("c.value") != "").groupBy(*keys, F.col("c.field").alias("field"), F.col("c.value").alias("value")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
 def dominant(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, the smallest where tied."""
     counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.functions.dates import era, parse_date
 from ledgerlark.functions.text import CLAIM_GROUPS, FEE_AUTHORITIES, FILE_REFERENCE, LOSS_OF_TITLE, TRUST_AUTHORITIES, any_of, blank_to_null, file_references, in_claim_group, patent_class, slugify, strip_zeros
-from ledgerlark.functions.trigram import similar_pairs, similarity, span_similarity
+from ledgerlark.functions.trigram import may_reach, similar_pairs, similarity, span_similarity
 from ledgerlark.operators.search import SearchSpec, facet, name_search, search
 from ledgerlark.operators.stats import dominant, timeline
 from ledgerlark.operators.unify import first_per_key, layered, resolve_labels, unified_view, with_flag
@@ -186,7 +186,7 @@ _SIM = f"(len(list_intersect({_duck_grams('full_name')}, {_duck_grams(chr(39) +
 @query(f"SELECT CAST(id AS BIGINT) AS id, full_name, round({_SIM}, 6) AS sim FROM rails_patents WHERE full_name IS NOT NULL AND len({_duck_grams('full_name')}) > 0 AND {_SIM} >= 0.3")
 def name_search_trigram(spark: SparkSession, d: str) -> DataFrame:
     sim = similarity(F.col("full_name"), F.lit(_Q))
-    return _rails(spark, d).where(F.col("full_name").isNotNull()).select(F.col("id").cast("long").alias("id"), "full_name", F.round(sim, 6).alias("sim")).where(sim >= 0.3)
+    return _rails(spark, d).where(may_reach(F.col("full_name"), _Q, 0.3)).select(F.col("id").cast("long").alias("id"), "full_name", F.round(sim, 6).alias("sim")).where(sim >= 0.3)
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, match_type, round(s, 3) AS sim_score FROM (SELECT id, CASE WHEN full_name ILIKE '%TOBUJUMOPU%' THEN 'exact' ELSE 'fuzzy' END AS match_type, CASE WHEN full_name ILIKE '%TOBUJUMOPU%' THEN 1.0 ELSE {_SIM.replace(_Q, 'TOBUJUMOPU')} END AS s
@@ -204,7 +204,15 @@ def name_similarity_join(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(q, t, 0.65).select("q", "t", F.round("sim", 6).alias("sim"))
 
 
-@query()
+def _duck_span(q: str, text: str) -> str:
+    """SQL of the highest trigram similarity of ``q`` to a run of whole words of ``text``."""
+    g = _duck_grams("u")
+    pair = f"list_max(list_transform(list_transform(spans, lambda u: {g}), lambda t: len(list_intersect(qg, t)) / CAST(len(qg) + len(t) - len(list_intersect(qg, t)) AS DOUBLE)))"
+    words = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"(SELECT coalesce({pair}, 0.0) FROM (SELECT {_duck_grams(q)} AS qg, flatten(list_transform(range(1, len(ws) + 1), lambda i: list_transform(range(i, len(ws) + 1), lambda j: array_to_string(ws[i:j], ' ')))) AS spans FROM (SELECT {words} AS ws)))"
+
+
+@query(f"SELECT * FROM (SELECT CAST(id AS BIGINT) AS id, full_name, round({_duck_span(chr(39) + 'KUDU VEPOKO' + chr(39), 'full_name')}, 6) AS sim FROM rails_patents WHERE full_name IS NOT NULL) WHERE sim >= 0.6")
 def name_search_span(spark: SparkSession, d: str) -> DataFrame:
     sim = span_similarity(F.lit("KUDU VEPOKO"), F.col("full_name"))
     return _rails(spark, d).where(F.col("full_name").isNotNull()).select(F.col("id").cast("long").alias("id"), "full_name", F.round(sim, 6).alias("sim")).where("sim >= 0.6")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlark.functions.dates import years_between
-from ledgerlark.functions.text import FEE_AUTHORITIES, REFERENCE_CLUSTERS, REFERENCE_FALLBACKS, TRUST_AUTHORITIES, bare_key, fee_references, is_cancelled, key_variants, name_tokens
+from ledgerlark.functions.text import FEE_AUTHORITIES, REFERENCE_CLUSTERS, REFERENCE_FALLBACKS, TRUST_AUTHORITIES, bare_key, fee_references, is_cancelled, name_tokens
 from ledgerlark.functions.trigram import similarity
 from ledgerlark.operators.linkage import composite_links, extract_references, fuzzy_blocked, match_cascade, sources_by_priority, tiered_pick
 from ledgerlark.operators.unify import first_per_key
@@ -88,14 +88,32 @@ def linkage_match_cascade(spark: SparkSession, d: str) -> DataFrame:
     return match_cascade(refs, _rails(spark, d).where("accession_number IS NOT NULL"), "ref", "accession_number", ["id"])
 
 
-@query("""WITH b AS (SELECT id, accession_number AS key, state, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(upper(full_name), '[^A-Z0-9]+'), lambda t: length(t) >= 2))), 1, 2)) AS block FROM rails_patents WHERE full_name IS NOT NULL AND regexp_full_match(accession_number, '[0-9]{6}')),
-c AS (SELECT DISTINCT a.id, b2.id AS target, levenshtein(a.key, b2.key) AS distance FROM b a JOIN b b2 ON a.block = b2.block AND a.id <> b2.id AND coalesce(a.state = b2.state, TRUE) WHERE levenshtein(a.key, b2.key) <= 2)
+_BARE = "regexp_replace(upper(accession_number), '[^A-Z0-9]', '', 'g')"
+
+
+@query(f"""WITH b AS (SELECT id, {_BARE} AS key, state, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(upper(full_name), '[^A-Z0-9]+'), lambda t: length(t) >= 2))), 1, 2)) AS block FROM rails_patents WHERE full_name IS NOT NULL AND {_BARE} <> ''),
+c AS (SELECT DISTINCT a.id, b2.id AS target, levenshtein(a.key, b2.key) AS distance FROM b a JOIN b b2 ON a.block = b2.block AND a.id <> b2.id AND coalesce(a.state = b2.state, TRUE) WHERE abs(length(a.key) - length(b2.key)) <= 2 AND levenshtein(a.key, b2.key) <= 2)
 SELECT CAST(id AS BIGINT) AS id, CAST(target AS BIGINT) AS target, CAST(distance AS BIGINT) AS distance FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, target) = 1""")
 def linkage_fuzzy_blocked(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rails(spark, d).where(F.col("accession_number").rlike("^[0-9]{6}$") & F.col("full_name").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("accession_number").alias("key"), F.col("full_name").alias("name"), "state")
+    rows = _rails(spark, d).where("full_name IS NOT NULL").select(F.col("id").cast("long").alias("id"), bare_key(F.col("accession_number")).alias("key"), F.col("full_name").alias("name"), "state").where("key != ''")
     return fuzzy_blocked(rows, rows).withColumn("distance", F.col("distance").cast("long"))
 
 
+@query(f"""WITH r AS (SELECT id AS ref_id, {_BARE.replace('accession_number', 'ref')} AS key, state, full_name FROM (SELECT p.id, p.state, p.full_name, unnest(string_split(f.refs, ' ')) AS ref FROM rails_patents p JOIN {{refs}} f ON p.id = f.id WHERE p.full_name IS NOT NULL AND f.refs IS NOT NULL) WHERE ref NOT IN (SELECT accession_number FROM rails_patents WHERE accession_number IS NOT NULL) AND regexp_full_match({_BARE.replace('accession_number', 'ref')}, '[0-9]{{{{6,}}}}')),
+t AS (SELECT id AS target, {_BARE} AS key, state, full_name FROM rails_patents WHERE full_name IS NOT NULL AND authority IN ({_FEE}) AND {_BARE} <> ''),
+x AS (SELECT *, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(upper(full_name), '[^A-Z0-9]+'), lambda w: length(w) >= 2))), 1, 2)) AS block FROM r), y AS (SELECT *, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(upper(full_name), '[^A-Z0-9]+'), lambda w: length(w) >= 2))), 1, 2)) AS block FROM t),
+c AS (SELECT DISTINCT ref_id || ':' || x.key AS ref, target, levenshtein(x.key, y.key) AS distance FROM x JOIN y ON x.block = y.block AND coalesce(x.state = y.state, TRUE) WHERE levenshtein(x.key, y.key) <= 2)
+SELECT ref, CAST(target AS BIGINT) AS target, CAST(distance AS BIGINT) AS distance FROM c QUALIFY row_number() OVER (PARTITION BY ref ORDER BY distance, target) = 1""".format(refs=_REFS))
+def linkage_fuzzy_references(spark: SparkSession, d: str) -> DataFrame:
+    """References in remarks that name no patent, of six digits or more, and the fee patent whose accession is closest."""
+    p = _rails(spark, d)
+    refs = extract_references(p.where("full_name IS NOT NULL"), "id", "remarks").join(p.select("accession_number"), F.col("ref") == F.col("accession_number"), "left_anti").select("id", bare_key(F.col("ref")).alias("key")).where(F.col("key").rlike("^[0-9]{6,}$")).distinct()
+    refs = refs.join(p.select("id", "state", F.col("full_name").alias("name")), "id").select(F.concat("id", F.lit(":"), "key").alias("id"), "key", "name", "state")
+    fee = p.where(F.col("authority").isin(FEE_AUTHORITIES) & F.col("full_name").isNotNull()).select("id", bare_key(F.col("accession_number")).alias("key"), F.col("full_name").alias("name"), "state").where("key != ''")
+    found = fuzzy_blocked(refs, fee.withColumn("id", F.col("id").cast("string")))
+    return found.select(F.col("id").alias("ref"), F.col("target").cast("long").alias("target"), F.col("distance").cast("long").alias("distance"))
+
+
 _TOK = "list_filter(list_distinct(list_filter(string_split_regex(upper(full_name), '[\\s;,./-]+'), lambda t: length(t) >= 2)), lambda t: t NOT IN ('JR', 'SR', 'II', 'III', 'IV', 'MRS', 'MR', 'MISS', 'DR'))"
 
 
@@ -160,8 +178,3 @@ def sibling_tiered_pick(spark: SparkSession, d: str) -> DataFrame:
 def keys_and_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = _rails(spark, d).where("full_name IS NOT NULL")
     return rows.select(F.col("id").cast("long").alias("id"), bare_key(F.col("accession_number")).alias("bare"), F.array_sort(name_tokens(F.col("full_name"), stops=False)).alias("tokens"))
-
-
-@query()
-def accession_variants(spark: SparkSession, d: str) -> DataFrame:
-    return _rails(spark, d).select(F.col("id").cast("long").alias("id"), key_variants(F.col("accession_number")).alias("variants"))

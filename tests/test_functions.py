@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -256,3 +257,64 @@ def test_feature_and_output_readers(spark, rows):
     assert readers.load_share(95, 100) and not readers.load_share(94, 100) and not readers.load_share(0, 0)
     sheet = spark.createDataFrame([(1, " a ", ""), (2, "", " "), (3, None, "b")], "source_row int, _c0 string, _c1 string")
     assert rows(readers.spreadsheet_rows(sheet, ["x", "y"])) == [(1, "a", None), (3, None, "b")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_blocked_is_brute_force(spark, rows):
+    """Keys of any kind and length, hot tokens, null states: as comparing every row with every row."""
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice("12A") for _ in range(rng.randrange(1, 9)))
+    data = [(i, key(), rng.choice(["ANN LAMEBEAR", "ANN CROW", "BEN CROW", "Ann", "", None]), rng.choice(["OR", "WA", None])) for i in range(120)] + [(900, None, "ANN", "OR")]
+    tokens = lambda n: set(sorted(set(t for t in (n or "").upper().split() if len(t) > 1))[:2])
+    want = []
+    for i, k, n, s in data:
+        near = [(edits(k, k2), j) for j, k2, n2, s2 in data if k is not None and k2 is not None and i != j and tokens(n) & tokens(n2) and (s is None or s2 is None or s == s2) and edits(k, k2) <= 2]
+        if near:
+            want.append((i, min(near)[1], min(near)[0]))
+    df = spark.createDataFrame(data, "id int, key string, name string, state string")
+    assert rows(linkage.fuzzy_blocked(df, df)) == sorted(want, key=repr)
+
+
+def test_evidence_tiers(spark):
+    d = dt.date
+    pairs = [
+        (1, "A", 1.0, True, d(1910, 1, 1), 11), (1, "A", 1.0, True, d(1905, 1, 1), 12), (2, "A", 0.8, True, d(1901, 1, 1), 21), (2, "A", 0.9, True, d(1950, 1, 1), 22), (3, "A", 0.66, True, None, 31), (4, "A", 1.0, False, None, 41),
+        (5, "A", 0.9, None, None, 51), (6, "A", 1.0, True, None, 61), (6, "B", 1.0, True, None, 62), (7, "A", 1.0, True, None, 71), (7, "A", 1.0, True, d(1930, 1, 1), 72),
+    ]
+    df = spark.createDataFrame(pairs, "id int, label string, s double, same boolean, at date, sib int")
+    got = {r["id"]: (r["tier"], r["label"], r["sibling"]) for r in linkage.evidence_tier(df, "id", "label", "s", "same", "at", "sib").collect()}
+    assert got == {1: ("T1", "A", 12), 2: ("T2", "A", 22), 3: ("T3", None, None), 4: ("T4", None, None), 5: ("T5", None, None), 6: ("disagreement", None, None), 7: ("T1", "A", 72)}
+
+
+@pytest.mark.parametrize("query, ids", [("roberts", {1, 2, 4}), ("rush roberts", {1}), ("Rush Robertss", {1}), ("caleb of the hill", {3}), ("zzz", set())])
+def test_person_search(spark, query, ids):
+    """First and last name of the same person; a literal hit needs no person."""
+    df = spark.createDataFrame([(1, "RUSH ROBERTS"), (2, "ANN ROBERTS"), (3, "CALEB OF THE HILL"), (4, "ROBERTS CO"), (5, None), (6, "RUSH CROW; ANN SMITH")], "id int, full_name string")
+    persons = spark.createDataFrame([(1, "RUSH", "ROBERTS"), (2, "ANN", "ROBERTS"), (6, "RUSH", "CROW"), (6, "ANN", "SMITH"), (5, None, None)], "id int, first string, last string")
+    got = search.person_search(df, persons, "id", "full_name", query).collect()
+    assert {r["id"] for r in got} == ids and all(r["match_type"] == ("exact" if query.lower() in r["full_name"].lower() else "fuzzy") for r in got)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="abAB é'1", max_size=14), min_size=20, max_size=20), st.text(alphabet="abé 1", min_size=1, max_size=9), st.sampled_from([0.3, 0.65, 1.0]))
+def test_may_reach_loses_nothing(spark, texts, query, threshold):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(trigram.may_reach(F.col("t"), query, threshold), trigram.similarity(F.col("t"), F.lit(query)) >= threshold).collect()
+    assert all(may or not does for may, does in got)
+
+
+def test_grid_filters(spark, rows):
+    spec = search.SearchSpec(like={"code": "code"}, integers={"n": "n"}, buckets={"size": {"small": "n < 3", "large": "n >= 3"}}, sortable=("n",), ties=("code",))
+    df = spark.createDataFrame([("a1", 1), ("A2", 4), ("b", None)], "code string, n int")
+    found = lambda p: sorted(r["code"] for r in search.search(df, spec, p).page.collect())
+    assert [found(p) for p in ({"code": "a_"}, {"min_n": "2"}, {"max_n": "x"}, {"size": "small"}, {"size": "?"}, {"min_n": 1, "max_n": "1"})] == [["A2", "a1"], ["A2"], ["A2", "a1", "b"], ["a1"], ["A2", "a1", "b"], ["a1"]]
+    with pytest.raises(ValueError):
+        search.search(df, spec, {"nothing": 1})
