@@ -328,12 +328,14 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(id AS BIGINT) AS id, json_extract_string(n, '$.type') AS type, json_extract_string(n, '$.date') AS date FROM (SELECT id, unnest(from_json(recovery_notes_json, '["JSON"]')) AS n FROM circular_2464_records WHERE recovery_notes_json LIKE '[%')""")
+@query("""SELECT CAST(id AS BIGINT) AS id, CAST(pos AS BIGINT) AS pos, json_extract_string(n, '$.type') AS type, json_extract_string(n, '$.date') AS date FROM (SELECT id, unnest(ns) AS n, unnest(range(0, len(ns))) AS pos FROM (SELECT id, from_json(CASE WHEN t LIKE '[%' THEN t ELSE '[' || t || ']' END, '["JSON"]') AS ns FROM (SELECT id, recovery_notes_json AS t FROM circular_2464_records UNION ALL SELECT id + 1000000, json_extract(recovery_notes_json, '$[0]') FROM circular_2464_records WHERE recovery_notes_json LIKE '[{%') WHERE trim(t, ' ') <> '' AND json_valid(t)))""")
 def json_notes_explode(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "circular_2464_records").where("recovery_notes_json LIKE '[%'")
-    texts = rows.select(F.concat(F.lit('{"extraction": '), F.col("recovery_notes_json"), F.lit("}")).alias("text"), F.col("id").cast("string").alias("stem"))
+    """Notes of records: lists, and, under ids from 1,000,000 on, each list's first as a single object."""
+    rows = table(spark, d, "circular_2464_records").select(F.col("id").cast("long").alias("id"), F.col("recovery_notes_json").alias("t"))
+    single = rows.where("t LIKE '[{%'").select((F.col("id") + 1000000).alias("id"), F.get_json_object("t", "$[0]").alias("t"))
+    texts = rows.unionByName(single).where("trim(t) != ''").select(F.concat(F.lit('{"extraction": '), F.col("t"), F.lit("}")).alias("text"), F.col("id").cast("string").alias("stem"))
     out = document_records(texts, "text", "stem", T.StructType([T.StructField("type", T.StringType()), T.StructField("date", T.StringType())]))
-    return out.select(F.col("document_id").cast("long").alias("id"), "type", "date")
+    return out.select(F.col("document_id").cast("long").alias("id"), F.col("record_index").cast("long").alias("pos"), "type", "date")
 
 
 @query("SELECT CAST(id AS BIGINT) AS id, nullif(trim(regexp_replace(full_name, '\\s+', ' ', 'g'), ' '), '') AS name, land_office AS cell FROM rails_patents WHERE trim(full_name, ' ') <> '' AND land_office IS NOT NULL")
@@ -349,11 +351,13 @@ def tolerant_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("id"), loose_value(tolerant_json(answer), "k").alias("k"))
 
 
-@query()
+@query("""SELECT CAST(id AS BIGINT) AS id, 'Feature' AS type, 'Point' AS kind, -CAST(regexp_extract(geographic_name, 'R ([0-9]+)', 1) AS DOUBLE) AS lon, CAST(regexp_extract(geographic_name, '^T ([0-9]+)', 1) AS DOUBLE) / 10 AS lat, accession_number, state FROM rails_patents WHERE regexp_full_match(geographic_name, 'T [0-9]+[NS] R [0-9]+[EW]')""")
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     rows = _rails(spark, d).where(F.col("geographic_name").rlike("^T [0-9]+[NS] R [0-9]+[EW]$"))
     lat, lon = F.regexp_extract("geographic_name", "^T ([0-9]+)", 1).cast("double") / 10, -F.regexp_extract("geographic_name", "R ([0-9]+)", 1).cast("double")
-    return rows.select(F.col("id").cast("long").alias("id"), feature("Point", F.array(lon, lat), F.struct("accession_number", "state")).alias("feature"))
+    out = rows.select(F.col("id").cast("long").alias("id"), feature("Point", F.array(lon, lat), F.struct("accession_number", "state")).alias("f"))
+    part = lambda p: F.get_json_object("f", p)
+    return out.select("id", part("$.type").alias("type"), part("$.geometry.type").alias("kind"), part("$.geometry.coordinates[0]").cast("double").alias("lon"), part("$.geometry.coordinates[1]").cast("double").alias("lat"), part("$.properties.accession_number").alias("accession_number"), part("$.properties.state").alias("state"))
 
 
 @query("""SELECT CAST(id AS BIGINT) AS id, round((4 * x + x) / 5 + 2.0 / 5, 6) AS lon, round((4 * y + y) / 5 + 2.0 / 5, 6) AS lat FROM (SELECT id, CAST(total_acres AS DOUBLE) AS x, CAST(id AS DOUBLE) AS y FROM rails_patents WHERE total_acres IS NOT NULL)""")
