@@ -1,37 +1,35 @@
-"""Pigeonhole keys: texts within ``most`` edits share one of most + 1 segments, shifted by no more than the edits on either side of it."""
-
-from __future__ import annotations
-
-from pyspark.sql import Column, functions as F
+"""Pigeonhole keys: texts within ``most`` edits share one of most + 1 segments, shifted by no more than the edits on either side of it.
 
+The segments' numbers and shifts are laid out as rows before a key is worked out, so the expression stays small enough for the JVM to compile.
+"""
 
-def _start(m: Column, i: int, parts: int) -> Column:
-    return F.floor(m * i / parts).cast("int") + 1
-
+from __future__ import annotations
 
-def _size(m: Column, i: int, parts: int) -> Column:
-    return _start(m, i + 1, parts) - _start(m, i, parts)
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _key(text: Column, m: Column, i: int, shift: int, parts: int, block: list[Column]) -> Column:
-    return F.xxhash64(*block, m, F.lit(i), F.substring(text, _start(m, i, parts) + shift, _size(m, i, parts)))
+def _keyed(df: DataFrame, text: str, block: list[str | Column], parts: int, shapes: list[tuple[int, int, int]], name: str) -> DataFrame:
+    """A row per shape (letters less, segment, shift) that fits, with its key."""
+    laid = F.explode(F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(d).alias("d")) for less, i, d in shapes])).alias("_s")
+    rows = df.select("*", laid)
+    n, i = F.length(text), F.col("_s.i")
+    m = n - F.col("_s.less")
+    cut = lambda j: F.call_function("div", m * j, F.lit(parts)).cast("int")
+    at, size = cut(i) + 1 + F.col("_s.d"), cut(i + 1) - cut(i)
+    key = F.xxhash64(*block, m, i, F.substring(text, at, size)).alias(name)
+    return rows.where((m > 0) & (at >= 1) & (at + size - 1 <= n)).select(*df.columns, key)
 
 
-def kept_keys(text: Column, block: list[Column], most: int = 2) -> Column:
-    """Keys under which a text is found: one for each of its segments, within ``block``."""
-    n, parts = F.length(text), most + 1
-    return F.array(*[_key(text, n, i, 0, parts, block) for i in range(parts)])
+def kept_keys(df: DataFrame, text: str, block: list[str | Column], most: int = 2, name: str = "k") -> DataFrame:
+    """A row for each key under which a text is found: one for each of its segments, within ``block``. An empty text has none."""
+    return _keyed(df, text, block, most + 1, [(0, i, 0) for i in range(most + 1)], name)
 
 
-def sought_keys(text: Column, block: list[Column], most: int = 2, shorter: tuple[int, ...] | None = None) -> Column:
-    """Keys of all texts as long as this one, or up to ``most`` letters shorter (or as much shorter as given), that may lie within ``most`` edits of it."""
-    n, parts = F.length(text), most + 1
-    keys = []
+def sought_keys(df: DataFrame, text: str, block: list[str | Column], most: int = 2, shorter: tuple[int, ...] | None = None, name: str = "k") -> DataFrame:
+    """A row for each key of the texts as long as this one, or up to ``most`` letters shorter (or as much shorter as given), that may lie within ``most`` edits of it."""
+    shapes = []
     for less in range(most + 1) if shorter is None else shorter:
-        m = n - less
-        for i in range(parts):
+        for i in range(most + 1):
             # i edits at most lie before the segment, most - i behind it; ``less`` of all are deletions.
-            for d in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1):
-                at, size = _start(m, i, parts) + d, _size(m, i, parts)
-                keys.append(F.when((m > 0) & (at >= 1) & (at + size - 1 <= n), _key(text, m, i, d, parts, block)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+            shapes += [(less, i, d) for d in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1)]
+    return _keyed(df, text, block, most + 1, shapes, name)

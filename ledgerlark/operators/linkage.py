@@ -36,12 +36,10 @@ def fuzzy_blocked(left: DataFrame, right: DataFrame, most: int = 2, block_tokens
     blocks = lambda n: F.explode(F.slice(F.array_sort(name_tokens(F.col(n), stops=False)), 1, block_tokens))
     a = left.select("id", "key", "state", blocks("name").alias("block"))
     b = right.select(F.col("id").alias("target"), F.col("key").alias("key2"), F.col("state").alias("state2"), blocks("name").alias("block"))
-    x = a.withColumn("k", F.explode(sought_keys(F.col("key"), [F.col("block")], most))).drop("block")
-    y = b.withColumn("k", F.explode(kept_keys(F.col("key2"), [F.col("block")], most))).drop("block")
+    x, y = sought_keys(a, "key", ["block"], most).drop("block"), kept_keys(b, "key2", ["block"], most).drop("block")
     longer = x.join(y, "k").drop("k")
     # Targets with the longer key look for the others.
-    x = a.withColumn("k", F.explode(kept_keys(F.col("key"), [F.col("block")], most))).drop("block")
-    y = b.withColumn("k", F.explode(sought_keys(F.col("key2"), [F.col("block")], most, tuple(range(1, most + 1))))).drop("block")
+    x, y = kept_keys(a, "key", ["block"], most).drop("block"), sought_keys(b, "key2", ["block"], most, tuple(range(1, most + 1))).drop("block")
     pairs = longer.unionByName(x.join(y, "k").drop("k")).where((F.col("id") != F.col("target")) & F.coalesce(F.col("state") == F.col("state2"), F.lit(True)))
     pairs = pairs.withColumn("distance", F.levenshtein("key", "key2", most)).where("distance >= 0")
     closest = pairs.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("m"))
