@@ -18,9 +18,12 @@ rows are rows of the same person; empty sources give no pairs; extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlark.llm.names import NameWords, first_named, given_names, learn_short_forms, number, parse_names
+from ledgerlark.functions.segments import kept_keys, sought_keys
+from ledgerlark.llm.names import NameWords, first_named, learn_short_forms, number, parse_names
 from ledgerlark.runtime import Kept, small
 
 SCHEMA = "src string, id long, name string, tribe string, state string, allotment long"
@@ -45,8 +48,7 @@ def parsed(all_records: DataFrame, words: NameWords = NameWords()) -> DataFrame:
     of_tribe = spelt.groupBy(clean, "state").agg(F.sum("n").alias("n")).groupBy("clean").agg(F.max_by("state", F.struct("n", "state")).alias("tribe_state"))
     lacking = rows.where("state IS NULL AND tribe IS NOT NULL").select("tribe").distinct().select("tribe", clean)
     found = Kept(lacking.join(of_tribe, "clean").select("tribe", "tribe_state")).df
-    given = given_names(rows.select("name"), words)
-    short = learn_short_forms(rows, given, words)
+    given, short = learn_short_forms(rows, words=words)
     filled = rows.join(small(found), "tribe", "left").withColumn("state", F.coalesce("state", "tribe_state")).drop("tribe_state", "tribe")
     return parse_names(filled, "name", given, short, words)
 
@@ -79,28 +81,17 @@ def number_conflict(a: str, b: str) -> Column:
 
 
 def near_surnames(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of groups of one given name, suffix and state that may have surnames within two edits; no such pair is left out.
+    """Pairs (a, b, distance), a < b, of groups of one given name, suffix and state with surnames within two edits; no such pair is left out.
 
     Of a surname's three segments two edits leave one whole, shifted by no more than the edits on either side
     of it. Every surname is found by its segments and looks for those of surnames as long as it or up to two shorter.
     """
-    n = F.length("surname")
-    person = F.xxhash64("given", "suffix", "state")
-    start = lambda m, i: F.floor(m * i / 3).cast("int") + 1
-    long = lambda m, i: start(m, i + 1) - start(m, i)
-    key = lambda m, i, d: F.xxhash64("p", m, F.lit(i), F.substring("surname", start(m, i) + d, long(m, i)))
-    kept = [key(n, i, 0) for i in range(3)]
-    sought = []
-    for less in range(3):
-        m = n - less
-        for i in range(3):
-            for d in range(max(-i, less - 2 + i), min(i, less + 2 - i) + 1):
-                inside = (m > 0) & (start(m, i) + d >= 1) & (start(m, i) + d + long(m, i) - 1 <= n)
-                sought.append(F.when(inside, key(m, i, d)))
-    rows = groups.select("g", "surname", person.alias("p"))
-    x = rows.select(F.col("g").alias("x"), F.explode(F.array_distinct(F.array_compact(F.array(*sought)))).alias("k"))
-    y = rows.select(F.col("g").alias("y"), F.explode(F.array(*kept)).alias("k"))
-    return x.join(y, "k").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = groups.select("g", "surname", F.xxhash64("given", "suffix", "state").alias("p"))
+    x = sought_keys(rows, "surname", ["p"], 2).select(F.col("g").alias("x"), F.col("surname").alias("sx"), "k")
+    y = kept_keys(rows, "surname", ["p"], 2).select(F.col("g").alias("y"), F.col("surname").alias("sy"), "k")
+    # The surnames go along, so that no more leaves the join than what is near.
+    pairs = x.join(y, "k").where("x != y").select("x", "y", F.levenshtein("sx", "sy", 2).alias("distance")).where("distance >= 0")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"))
 
 
 _CARRIED = ("n", "surname", "nums", "middle")
@@ -110,17 +101,32 @@ def _leader_columns() -> list[Column]:
     return [F.col(c).alias(f"l_{c}") for c in ("g", *_CARRIED)]
 
 
-def _verified(pairs: DataFrame, most: int) -> DataFrame:
-    """Of pairs of groups those with surnames within ``most`` edits, led by the one with a number, then the larger; so links never form a ring."""
-    strength = lambda x: F.struct(F.col(f"{x}nums").isNotNull(), F.col(f"{x}n"), F.col(f"{x}g"))
-    return pairs.where(strength("l_") > strength("")).withColumn("distance", F.levenshtein("surname", "l_surname", most)).where("distance >= 0")
+#: Passes of exact joins, each with its rules: (rule, key, edits of the surname allowed, what labels it); ``x`` in a key is each number of a group.
+_PASSES = [
+    [("name", ("surname", "given", "suffix"), 0, "number"), ("number", ("x", "given", "suffix", "state"), 3, "middle")],
+    [("number_front", ("x", "given", "suffix", "front"), 2, "middle"), ("number_back", ("x", "given", "suffix", "back"), 2, "middle")],
+]
+
+
+def _joined(groups: DataFrame, rules: list[tuple[str, tuple[str, ...], int, str]]) -> DataFrame:
+    """Groups with every stronger group under one key of a pass whose surname is near enough; links lead to the one with a number, then the larger, so they never form a ring."""
+    parts = {"front": F.substring("surname", 1, 3), "back": F.substring("surname", -3, 3)}
 
+    def entry(rule: str, key: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(rule).alias("rule"), F.xxhash64(F.lit(rule), *[x if k == "x" else parts.get(k, F.col(k)) for k in key]).alias("key"))
 
-def _led(open_: DataFrame, groups: DataFrame, key: Column, most: int, number: str = "lo") -> DataFrame:
-    """Open groups with every stronger group under the same key, for each ``number`` of theirs if the key has one, whose surname lies within ``most`` edits."""
-    keyed = lambda df: df.withColumn(number, F.explode("nums")).withColumn("key", key).drop(number) if number else df.withColumn("key", key)
-    pairs = keyed(open_).join(keyed(groups).select("key", *_leader_columns()), "key").drop("key")
-    return _verified(pairs, most).dropDuplicates(["g", "l_g"])  # groups may share several numbers
+    keys = []
+    for rule, key, _, _ in rules:
+        each = F.transform("nums", entry(rule, key)) if "x" in key else F.array(entry(rule, key)(F.lit(None)))
+        keys.append(F.coalesce(each, F.array().cast("array<struct<rule: string, key: bigint>>")))
+    keyed = groups.select(F.explode(F.concat(*keys)).alias("k"), "g", *_CARRIED).select("k.rule", "k.key", "g", *_CARRIED)
+    # Most keys are one group's: only the others' groups are joined.
+    shared = Kept(keyed.groupBy("key").agg(F.min("g").alias("lo_g"), F.max("g").alias("hi_g")).where("lo_g != hi_g").select("key")).df
+    keyed = keyed.join(small(shared), "key", "left_semi")
+    pairs = keyed.join(keyed.select("key", *_leader_columns()), "key")
+    strength = lambda x: F.struct(F.col(f"{x}nums").isNotNull(), F.col(f"{x}n"), F.col(f"{x}g"))
+    most = F.coalesce(*[F.when(F.col("rule") == r, F.lit(m)) for r, _, m, _ in rules])
+    return pairs.where(strength("l_") > strength("")).withColumn("distance", F.levenshtein("surname", "l_surname")).where(F.col("distance") <= most).drop("key")
 
 
 def group_names(base: DataFrame) -> DataFrame:
@@ -141,51 +147,52 @@ def _named(base: DataFrame) -> DataFrame:
     return base.where("given != ''").withColumn("state", F.coalesce(_code("state"), F.lit(0)))
 
 
+#: Rules for records with an initial only: (rule, key, what labels it), the stronger first.
+_INITIALS = [
+    ("initial_number", ("surname", "initial", "suffix", "allotment"), "middle"), ("initial_number_state", ("allotment", "initial", "suffix", "state"), "middle"),
+    ("initial_middle", ("surname", "initial", "middle", "suffix"), "number"), ("initial", ("surname", "initial", "suffix"), "number"),
+]
+
+
 def link_initials(base: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with an initial only: the one person under weaker and weaker keys. Links (src, id, person, rule) and labels (rule, known, agree)."""
-    initials = base.where("given = '' AND initial != ''").select("src", "id", "surname", "initial", F.ascii("middle").alias("middle"), "suffix", "allotment", F.coalesce(_code("state"), F.lit(0)).alias("state"))
-    heads = people.withColumn("initial", F.substring("given", 1, 1))
-
-    def unique(key: list[str], by: DataFrame) -> DataFrame:
-        return by.groupBy(*key).agg(F.min("person").alias("person"), F.max("person").alias("other"), F.max("middle").alias("p_middle"))
-
-    numbered = heads.withColumn("allotment", F.explode("nums"))
-    held = Kept(numbered.select("person", "allotment").distinct()).df
-    any_held = held.select("person").distinct().withColumn("numbered", F.lit(True))
-    weak = [
-        ("initial_number", ["surname", "initial", "suffix", "allotment"], numbered, "middle"),
-        ("initial_number_state", ["allotment", "initial", "suffix", "state"], numbered, "middle"),
-        ("initial_middle", ["surname", "initial", "middle", "suffix"], heads.where("middle != 0"), "number"),
-        ("initial", ["surname", "initial", "suffix"], heads, "number"),
-    ]
-    initials = Kept(initials).df
-    left, weak_links, labels = initials, None, None
-    for rule, key, by, label in weak:
-        found = initials.join(unique(key, by).where("person = other"), key)
-        if rule == "initial_number_state":
-            found = found.join(people.select(F.col("g").alias("person"), F.col("surname").alias("p_surname")), "person").where(F.levenshtein("surname", "p_surname", 2) >= 0)
-        m_known, m_agree = (F.col("middle") != 0) & (F.col("p_middle") != 0), F.col("middle") == F.col("p_middle")
-        if label == "number":
-            found = found.join(any_held, "person", "left").join(held.withColumn("held", F.lit(True)), ["person", "allotment"], "left")
-            n_known, n_agree = F.col("allotment").isNotNull() & F.col("numbered").isNotNull(), F.col("held").isNotNull()
-        if label == "middle":
-            known, agree, stays = m_known, m_agree, F.lit(True)
-        else:
-            known, agree, stays = n_known, n_agree, ~m_known | m_agree
-        found = Kept(found.where(stays).select("src", "id", "person", F.lit(rule).alias("rule"), known.alias("known"), F.coalesce(agree, F.lit(False)).alias("agree"))).df
-        # Labelled on all records, used for those still open.
-        labels = found.select("rule", "known", "agree") if labels is None else labels.unionByName(found.select("rule", "known", "agree"))
-        found = found.where("agree OR NOT known").join(left.select("src", "id"), ["src", "id"], "left_semi")
-        weak_links = found if weak_links is None else weak_links.unionByName(found)
-        left = Kept(left.join(found.select("src", "id"), ["src", "id"], "left_anti")).df
-    done = weak_links.select("src", "id", "person", "rule")
+    """The last pass, records with an initial only: the one person under weaker and weaker keys. Links (src, id, person, rule) and labels (rule, known, agree)."""
+    columns = ["src", "id", "surname", "initial", "middle", "suffix", "allotment", "state"]
+    initials = Kept(base.where("given = '' AND initial != ''").withColumn("middle", F.ascii("middle")).withColumn("state", F.coalesce(_code("state"), F.lit(0))).select(*columns)).df
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """A row per rule with its key; a null allotment or no middle initial makes no key."""
+        made = []
+        for i, (rule, key, _) in enumerate(_INITIALS):
+            usable = F.lit(True)
+            if "allotment" in key:
+                usable = usable & F.col("allotment").isNotNull()
+            if "middle" in key:
+                usable = usable & (F.col("middle") != 0)
+            made.append(F.when(usable, F.struct(F.lit(i).alias("order"), F.xxhash64(F.lit(rule), *key).alias("key"))))
+        return df.withColumn("k", F.explode(F.array_compact(F.array(*made)))).select("k.order", "k.key", *df.columns)
+
+    asked = keyed(initials)
+    heads = people.withColumn("initial", F.substring("given", 1, 1)).withColumn("allotment", F.explode_outer("nums")).select("person", "surname", "initial", "suffix", "state", "middle", "allotment", F.col("nums").isNotNull().alias("numbered"))
+    # Only the keys that records ask for; of a key's people the first and the last, which are one if it is unique.
+    wanted = Kept(asked.select("key").distinct()).df
+    one = keyed(heads).join(small(wanted), "key", "left_semi").groupBy("order", "key").agg(
+        F.min("person").alias("person"), F.max("person").alias("other"), F.max("middle").alias("p_middle"), F.min("surname").alias("p_surname"), F.max("numbered").alias("numbered"), F.collect_set("allotment").alias("held")
+    )
+    found = asked.join(one.where("person = other").drop("other"), ["order", "key"])
+    rule = F.array(*[F.lit(r) for r, _, _ in _INITIALS])[F.col("order")]
+    found = found.where((F.col("order") != 1) | (F.levenshtein("surname", "p_surname", 2) >= 0))
+    m_known, m_agree = (F.col("middle") != 0) & (F.col("p_middle") != 0), F.col("middle") == F.col("p_middle")
+    n_known, n_agree = F.col("allotment").isNotNull() & F.col("numbered"), F.array_contains("held", F.col("allotment"))
+    by_middle = F.col("order") < 2
+    known, agree = F.when(by_middle, m_known).otherwise(n_known), F.coalesce(F.when(by_middle, m_agree).otherwise(n_agree), F.lit(False))
+    found = Kept(found.where(by_middle | ~m_known | m_agree).select("src", "id", "person", "order", rule.alias("rule"), known.alias("known"), agree.alias("agree"))).df
+    done = found.where("agree OR NOT known").groupBy("src", "id").agg(F.min_by(F.struct("person", "rule"), "order").alias("b")).select("src", "id", "b.person", "b.rule")
+    done = Kept(done).df
     # Initials nobody was found for still match each other under one spelling and number.
     key = ["surname", "initial", "suffix", "allotment"]
-    alone = left.where("allotment IS NOT NULL")
+    alone = initials.where("allotment IS NOT NULL").join(done, ["src", "id"], "left_anti")
     persons = Kept(alone.select(*key).distinct().withColumn("person", -1 - F.monotonically_increasing_id())).df  # below all groups' numbers
-    done = done.unionByName(alone.join(persons, key).select("src", "id", "person", F.lit("initial_number").alias("rule")))
-
-    return done, labels
+    return done.unionByName(alone.join(small(persons), key).select("src", "id", "person", F.lit("initial_number").alias("rule"))), found.select("rule", "known", "agree")
 
 
 def _tops(linked: DataFrame) -> DataFrame:
@@ -203,36 +210,32 @@ def resolve(all_records: DataFrame, words: NameWords = NameWords()) -> tuple[Dat
     """Records (src, id, person, rule), and (rule, labelled, agreeing, precision) of every rule."""
     base = Kept(parsed(all_records, words)).df
     groups = group_names(base)
-    text = lambda *c: F.xxhash64(*c)
-    rules = [
-        # (rule, key, edits, labelled by)
-        ("name", text("surname", "given", "suffix"), 0, "number"),  # one name in several states
-        ("number", text("lo", "given", "suffix", "state"), 3, "middle"),
-        ("number_front", text("lo", "given", "suffix", F.substring("surname", 1, 3)), 2, "middle"),
-        ("number_back", text("lo", "given", "suffix", F.substring("surname", -3, 3)), 2, "middle"),
-        ("surname", None, 2, "number"),  # any two edits within given name, suffix and state
-    ]
     open_, links, linked = groups, None, None
-    for rule, key, most, label in rules:
-        # A rule is tried on all groups, so that its labels don't depend on what the rules before it left.
-        if key is None:
+    steps = [*_PASSES, [("surname", (), 2, "number")]]
+    for at, rules in enumerate(steps):
+        # A pass is tried on all groups, so that its labels don't depend on what the passes before it left.
+        if rules in _PASSES:
+            found = _joined(groups, rules)
+        else:  # any two edits within given name, suffix and state
             near = near_surnames(groups)
             pairs = near.join(groups.select(F.col("g").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _CARRIED]), "a").join(groups.select(F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in _CARRIED]), "b")
             stronger = F.struct(F.col("a_nums").isNotNull(), "a_n", "a") > F.struct(F.col("b_nums").isNotNull(), "b_n", "b")
-            pick = lambda x, y: [F.when(stronger, F.col(x)).otherwise(F.col(y))]
-            sides = [*[pick(f"b_{c}", f"a_{c}")[0].alias(c) for c in _CARRIED], *[pick(f"a_{c}", f"b_{c}")[0].alias(f"l_{c}") for c in _CARRIED], pick("b", "a")[0].alias("g"), pick("a", "b")[0].alias("l_g")]
-            found = pairs.select(*sides).withColumn("distance", F.levenshtein("surname", "l_surname", most)).where("distance >= 0")
-        else:
-            found = _led(groups, groups, key, most, "lo" if rule != "name" else "")
-        both_middle = (F.col("middle") != 0) & (F.col("l_middle") != 0)
-        known, agree = (both_middle, F.col("middle") == F.col("l_middle")) if label == "middle" else (F.col("nums").isNotNull() & F.col("l_nums").isNotNull(), ~number_conflict("", "l_"))
-        found = Kept(found.select("g", F.col("l_g").alias("parent"), F.lit(rule).alias("rule"), "distance", "l_n", known.alias("known"), agree.alias("agree"))).df
+            pick = lambda x, y: F.when(stronger, F.col(x)).otherwise(F.col(y))
+            sides = [*[pick(f"b_{c}", f"a_{c}").alias(c) for c in _CARRIED], *[pick(f"a_{c}", f"b_{c}").alias(f"l_{c}") for c in _CARRIED], pick("b", "a").alias("g"), pick("a", "b").alias("l_g")]
+            found = pairs.select(F.lit("surname").alias("rule"), *sides, "distance")
+        by_middle = F.col("rule").isin([r for r, _, _, label in rules if label == "middle"])
+        both_middle, both_numbers = (F.col("middle") != 0) & (F.col("l_middle") != 0), F.col("nums").isNotNull() & F.col("l_nums").isNotNull()
+        known, agree = F.when(by_middle, both_middle).otherwise(both_numbers), F.when(by_middle, F.col("middle") == F.col("l_middle")).otherwise(~number_conflict("", "l_"))
+        order = F.coalesce(*[F.when(F.col("rule") == r, F.lit(i)) for i, (r, *_) in enumerate(rules)]).alias("order")
+        found = Kept(found.select("g", F.col("l_g").alias("parent"), "rule", order, "distance", "l_n", known.alias("known"), agree.alias("agree"))).df
         links = found if links is None else links.unionByName(found)
-        closest = found.where("agree OR NOT known").groupBy("g").agg(F.min_by("parent", F.struct("distance", -F.col("l_n"), "parent")).alias("parent"))
-        closest = Kept((closest if linked is None else closest.join(open_.select("g"), "g", "left_semi")).withColumn("rule", F.lit(rule))).df
-        linked = closest if linked is None else linked.unionByName(closest)
-        if rule != rules[-1][0]:
-            open_ = Kept(open_.select("g").join(closest, "g", "left_anti")).df
+        best = found.where("agree OR NOT known")
+        if linked is not None:
+            best = best.join(open_, "g", "left_semi")
+        best = Kept(best.groupBy("g").agg(F.min_by(F.struct("parent", "rule"), F.struct("order", "distance", -F.col("l_n"), "parent")).alias("b")).select("g", "b.parent", "b.rule")).df
+        linked = best if linked is None else linked.unionByName(best)
+        if at < len(steps) - 1:
+            open_ = Kept(open_.select("g").join(best, "g", "left_anti")).df
     top = _tops(linked)
     people = groups.join(top, "g", "left").select("g", F.coalesce("parent", "g").alias("person"), F.coalesce("rule", F.lit("name")).alias("rule"), "surname", "given", "suffix", "n", "nums", "middle", "state")
     people = Kept(people).df
@@ -240,7 +243,9 @@ def resolve(all_records: DataFrame, words: NameWords = NameWords()) -> tuple[Dat
 
     weak, labels = link_initials(base, people)
     done = done.unionByName(weak)
-    labels = links.select("rule", "known", "agree").unionByName(labels)
+    # Groups that share several numbers met several times under one rule.
+    links = links.where("known").groupBy("rule", "g", "parent").agg(F.max("agree").alias("agree"))
+    labels = links.select("rule", F.lit(True).alias("known"), "agree").unionByName(labels)
     labels = labels.where("known").groupBy("rule").agg(F.count("*").alias("labelled"), F.sum(F.col("agree").cast("long")).alias("agreeing"))
     same = groups.where("numbers > 1").agg(F.lit("name").alias("rule"), F.count("*").alias("labelled"), F.coalesce(F.sum((F.size("nums") == 1).cast("long")), F.lit(0)).alias("agreeing"))
     labels = labels.unionByName(same).groupBy("rule").agg(F.sum("labelled").alias("labelled"), F.sum("agreeing").alias("agreeing"))

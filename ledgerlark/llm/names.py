@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlark.runtime import Kept, small
+
 #: Share of all names from which a leading token counts as a given name; so there are at most 1 / share.
 GIVEN_SHARE = 0.002
 
@@ -176,41 +178,46 @@ def _given_token(name: Column) -> Column:
     return F.regexp_extract(F.upper(name), r"^(?:[^,;&]*,\s*|\s*)([A-Z]{2,})(?=[\s.;&]|$)", 1)
 
 
-def given_names(names: DataFrame, words: NameWords = NameWords()) -> list[str]:
-    """Tokens that stand where given names stand in at least GIVEN_SHARE of all names (column ``name``)."""
-    counts = names.where(F.col("name").isNotNull()).groupBy(_given_token(F.col("name")).alias("t")).agg(F.count("*").alias("n"))
-    n = names.count()
-    rows = counts.where((F.col("t") != "") & (F.col("n") >= max(3, int(n * GIVEN_SHARE)))).select("t").collect()  # at most 1 / GIVEN_SHARE
-    return sorted(r["t"] for r in rows if r["t"] not in words.titles)
+def _tokens(rows: DataFrame) -> DataFrame:
+    """Rows (t, k) of rows (name, state, allotment): the token where the given name stands, and a code of the number, state and other letters; null without a number or with three letters or fewer."""
+    name = F.upper("name")
+    rest = F.regexp_replace(F.regexp_replace(name, r"^([^,;&]*,\s*|\s*)[A-Z]{2,}(?=[\s.;&]|$)", "$1 "), r"\b[A-Z]\b|[^A-Z]", "")
+    named = rows.where(F.col("name").isNotNull()).select(_given_token(F.col("name")).alias("t"), "state", "allotment", F.when(F.col("allotment").isNotNull(), rest).alias("rest"))
+    return named.select("t", F.when(F.length("rest") > 3, F.xxhash64("state", "allotment", "rest")).alias("k"))
 
 
-def learn_short_forms(rows: DataFrame, given: list[str], words: NameWords = NameWords(), least: int = 2, share: float = 0.8) -> dict[str, str]:
-    """Short forms of the known given names, learned from rows (name, state, allotment).
+def _given(tokens: DataFrame, words: NameWords) -> list[str]:
+    n = tokens.count()
+    rows = tokens.groupBy("t").agg(F.count("*").alias("n")).where((F.col("t") != "") & (F.col("n") >= max(3, int(n * GIVEN_SHARE)))).select("t").collect()  # at most 1 / GIVEN_SHARE
+    return sorted(r["t"] for r in rows if r["t"] not in words.titles)
 
-    Two entries with the same state, number and other letters name one person; where one of them has a known given name and
-    the other another token in its place, that token is taken to stand for the name. A token that does so at ``least``
-    times, and in ``share`` of the cases for the same name, is a short form. Names without a number teach nothing.
-    """
+
+def _short_forms(tokens: DataFrame, given: list[str], words: NameWords, least: int, share: float) -> dict[str, str]:
     if not given:
         return {}
-    plain = F.upper("name")
-    if words.notes:
-        plain = F.regexp_replace(plain, words.notes, " ")
-    plain = F.trim(F.regexp_replace(plain, r"[()\"]", " "))
-    token = _given_token(plain)
-    # What is left without the token, single letters and anything but letters.
-    rest = F.regexp_replace(F.regexp_replace(plain, r"^([^,;&]*,\s*|\s*)[A-Z]{2,}(?=[\s.;&]|$)", "$1 "), r"\b[A-Z]\b|[^A-Z]", "")
-    named = rows.where(F.col("allotment").isNotNull()).select(token.alias("t"), "state", "allotment", rest.alias("rest")).where("t != '' AND length(rest) > 3")
+    known = tokens.where("k IS NOT NULL AND t != ''")
     full = F.col("t").isin(given)
-    # The distinct tokens of one person's entries meet in one group: two sets, of known names and of other tokens.
-    met = named.groupBy(F.xxhash64("state", "allotment", "rest").alias("k")).agg(F.collect_set(F.when(full, F.col("t"))).alias("full"), F.collect_set(F.when(~full, F.col("t"))).alias("short"))
-    pairs = met.where("size(full) > 0 AND size(short) > 0").select(F.explode("full").alias("full"), "short").select("full", F.explode("short").alias("short"))
+    # The minority of other tokens goes to the known names with the same code, by broadcast if it is small.
+    pairs = known.where(full).select("k", F.col("t").alias("full")).join(small(known.where(~full).select("k", F.col("t").alias("short"))), "k").distinct()
     counts = pairs.groupBy("short", "full").agg(F.count("*").alias("n")).groupBy("short").agg(F.sum("n").alias("all"), F.max_by("full", F.struct("n", "full")).alias("full"), F.max("n").alias("n"))
-    bound = max(least, int(rows.count() * SHORT_SHARE))
+    bound = max(least, int(tokens.count() * SHORT_SHARE))
     found = counts.where((F.col("n") >= bound) & (F.col("n") >= share * F.col("all"))).select("short", "full").collect()  # at most 1 / SHORT_SHARE
     return {r["short"]: r["full"] for r in found if r["short"] not in words.titles}
 
 
+def learn_short_forms(rows: DataFrame, given: list[str] | None = None, words: NameWords = NameWords(), least: int = 2, share: float = 0.8) -> tuple[list[str], dict[str, str]]:
+    """The given names known, and short forms of them, learned from rows (name, state, allotment).
+
+    A token that stands where given names stand in at least GIVEN_SHARE of all names is a given name, unless they are given.
+    Two entries with the same state, number and other letters name one person; where one of them has a known given name and
+    the other another token in its place, that token is taken to stand for the name. A token that does so at ``least``
+    times, and in ``share`` of the cases for the same name, is a short form. Names without a number, or with notes around them, teach nothing.
+    """
+    tokens = Kept(_tokens(rows)).df
+    given = _given(tokens, words) if given is None else given
+    return given, _short_forms(tokens, given, words, least, share)
+
+
 def parse_names(df: DataFrame, column: str, given: list[str], short: dict[str, str] | None = None, words: NameWords = NameWords()) -> DataFrame:
     """``df`` with surname, given, initial, middle, suffix of the names in ``column``; rows that name nobody are left out."""
     parser = df.sparkSession.sparkContext.broadcast(NameParser(given, short, words))
