@@ -6,14 +6,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Bytes up to which a small side may be broadcast; larger sides are shuffled.
+#: Bytes up to which a small side may be broadcast, and the part of the driver's heap that it may take; larger sides are shuffled.
 BROADCAST_BYTES = 64 * 2**20
+_HEAP_SHARE = 16
+#: Bytes that a broadcast row takes besides its fields: its header, its pointer, its places in a hash table that is at most half full.
+_ROW_BYTES = 64
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[list[Kept]] = []
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -67,13 +72,25 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside are deleted as each ends, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Kept:
     """A DataFrame written to shared storage, so that its lineage is cut and lost executors cost nothing."""
 
     def __init__(self, df: DataFrame, partition_by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex[:12]}"
-        df.write.partitionBy(*partition_by).parquet(self.path) if partition_by else df.write.parquet(self.path)
+        with _shuffles_removed(self.spark):
+            df.write.partitionBy(*partition_by).parquet(self.path) if partition_by else df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         if _made:
             _made[-1].append(self)
@@ -110,16 +127,23 @@ def _width(field: T.StructField) -> Column | int:
     return 16 + F.coalesce(F.octet_length(c if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))), F.lit(0))
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast if its measured size stays within ``limit`` bytes; otherwise leave it to a shuffle join. ``rows``: its number, if known."""
+def fits(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the fields of ``df`` measure no more than ``limit`` bytes, and a broadcast of it what the driver has room for. ``rows``: its number, if known."""
+    room = min(BROADCAST_BYTES, df.sparkSession.sparkContext._jvm.Runtime.getRuntime().maxMemory() // _HEAP_SHARE)
     widths = [_width(f) for f in df.schema.fields]
     fixed, varying = sum(w for w in widths if isinstance(w, int)), [w for w in widths if not isinstance(w, int)]
     if rows is not None and not varying:
         size = rows * fixed
     else:
         row = sum(varying, F.lit(fixed))
-        size = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= limit else df
+        with _shuffles_removed(df.sparkSession):
+            size, rows = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)), F.count("*")).first()
+    return size <= limit and size + rows * _ROW_BYTES <= room
+
+
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it ``fits``; otherwise leave it to a shuffle join."""
+    return F.broadcast(df) if fits(df, rows, limit) else df
 
 
 def free_name(df: DataFrame, base: str) -> str:

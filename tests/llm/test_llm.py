@@ -261,6 +261,18 @@ def test_near_surnames(spark):
         return row[-1]
 
     assert {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if apart(words[i], words[j]) <= 2} == found
+    several = df.withColumn("given", F.concat(F.lit("G"), F.col("g") % 7))
+    assert sorted(matching.near_surnames(several, 3).collect()) == sorted(matching.near_surnames(several).collect())
+
+
+def test_matching_is_the_same_in_slices_and_without_broadcasts(spark, rows, monkeypatch):
+    typed = [("DORAMITE", 5), ("DORAMTE", None), ("KELOBANU", 7), ("KELOBNAU", 7), ("TISOVEKA", None), ("TISOVKA", None)]
+    df = spark.createDataFrame([(i, f"{s}, {g}", n) for i, (s, n) in enumerate(typed * 2) for g in [("GEORGE", "PETER")[i // len(typed)]]], "id long, name string, number long")
+    people = lambda src: df.select(F.lit(src).alias("src"), "id", "name", F.lit("T").alias("tribe"), F.lit("KS").alias("state"), F.col("number").alias("allotment"))
+    found = rows(matching.match(people("a"), people("b"), "a", "b"))
+    monkeypatch.setattr(matching, "SLICED", 3)
+    monkeypatch.setattr(matching, "fits", lambda df: False)
+    assert rows(matching.match(people("a"), people("b"), "a", "b")) == found and len(found) > len(typed) * 2
 
 
 def test_tribe_variants(spark):

@@ -176,6 +176,19 @@ def test_small_counts_bytes(spark):
     assert hinted(small(df)) and not hinted(small(df, limit=5000)) and hinted(small(spark.range(10), 10, limit=80)) and not hinted(small(spark.range(10), 11, limit=80))
 
 
+def test_small_counts_the_hash_table(spark):
+    # A million keys of 8 bytes take some 70 MB once they are hashed.
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(spark.range(10), 100_000)) and not hinted(small(spark.range(10), 1_000_000)) and not hinted(small(spark.range(1_000_000)))
+
+
+def test_kept_leaves_no_shuffle_files(spark):
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = blocks()
+    kept = Kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert blocks() <= before and kept.df.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_finished_drops_what_it_wrote(spark):
     made = []
 
