@@ -25,11 +25,14 @@ def kept_keys(df: DataFrame, text: str, block: list[str | Column], most: int = 2
     return _keyed(df, text, block, most + 1, [(0, i, 0) for i in range(most + 1)], name)
 
 
-def sought_keys(df: DataFrame, text: str, block: list[str | Column], most: int = 2, shorter: tuple[int, ...] | None = None, name: str = "k") -> DataFrame:
-    """A row for each key of the texts as long as this one, or up to ``most`` letters shorter (or as much shorter as given), that may lie within ``most`` edits of it."""
+def sought_keys(df: DataFrame, text: str, block: list[str | Column], most: int = 2, shorter: tuple[int, ...] | None = None, name: str = "k", own: bool = True) -> DataFrame:
+    """A row for each key of the texts as long as this one, or up to ``most`` letters shorter (or as much shorter as given), that may lie within ``most`` edits of it.
+
+    Without ``own``, the keys under which the text is found itself are left out; texts that share one of them are those that ``kept_keys`` gives the same key.
+    """
     shapes = []
     for less in range(most + 1) if shorter is None else shorter:
         for i in range(most + 1):
             # i edits at most lie before the segment, most - i behind it; ``less`` of all are deletions.
-            shapes += [(less, i, d) for d in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1)]
+            shapes += [(less, i, d) for d in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1) if own or less or d]
     return _keyed(df, text, block, most + 1, shapes, name)

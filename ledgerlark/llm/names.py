@@ -24,8 +24,18 @@ GIVEN_SHARE = 0.002
 SHORT_SHARE = 1e-5
 
 _PLAIN = re.compile(r"[()\"]")
-_LETTERS = re.compile(r"[^A-Z0-9]")
-_TOKENS = re.compile(r"[\s.]+")
+_OTHER = re.compile(r"[^A-Z0-9]")
+_SUFFIXES = frozenset(("JR", "SR", "II", "III"))
+
+
+def _letters(text: str) -> str:
+    """An upper-case text without what is neither letter nor digit."""
+    return text if text.isascii() and text.isalnum() else _OTHER.sub("", text)
+
+
+def _tokens_of(text: str) -> list[str]:
+    """What stands between blanks and full stops."""
+    return text.replace(".", " ").split()
 
 
 @dataclass(frozen=True)
@@ -111,37 +121,38 @@ class NameParser:
         """(surname, given name or '', its initial, middle initial, suffix), or None if the entry names nobody."""
         if typed is None:
             return None
-        s = _PLAIN.sub(" ", self.notes.sub(" ", typed.upper()) if self.notes else typed.upper()).strip(" ,.-")
+        s = typed.upper()
+        s = self.notes.sub(" ", s) if self.notes else s
+        s = (_PLAIN.sub(" ", s) if "(" in s or ")" in s or '"' in s else s).strip(" ,.-")
         if not s or s in self.words.nobody or " ".join(s.split()) in self.words.nobody:
             return None
         left, comma, right = s.partition(",")
-        tokens = [t for t in _TOKENS.split(right if comma else s) if t]
         suffix = ""
         rest = []
-        for t in tokens:
+        for t in _tokens_of(right if comma else s):
             bare = t.strip(",-'")
-            if bare in ("JR", "SR", "II", "III"):
+            if bare in _SUFFIXES:
                 suffix = bare
             elif bare:
                 rest.append(bare)
         if comma and not rest:  # "GIVEN SURNAME, JR"
-            comma, rest = "", [t.strip(",-'") for t in _TOKENS.split(left) if t.strip(",-'")]
+            comma, rest = "", [bare for t in _tokens_of(left) if (bare := t.strip(",-'"))]
         elif comma:
             kept = []
-            for t in _TOKENS.split(left):
+            for t in _tokens_of(left):
                 bare = t.strip("-'")
-                if bare in ("JR", "SR", "II", "III"):
+                if bare in _SUFFIXES:
                     suffix = bare
                 elif bare:
                     kept.append(bare)
             surname, names = "".join(kept), rest
         if not comma:
             if len(rest) < 2:
-                return (_LETTERS.sub("", "".join(rest)), "", "", "", suffix) if rest else None
+                return (_letters("".join(rest)), "", "", "", suffix) if rest else None
             surname, names = self._order(rest)
-        surname = _LETTERS.sub("", surname)
-        first = _LETTERS.sub("", names[0]) if names else ""
-        middle = next((t for t in (_LETTERS.sub("", x) for x in names[1:]) if t), "")[:1]
+        surname = _letters(surname)
+        first = _letters(names[0]) if names else ""
+        middle = next((t for x in names[1:] if (t := _letters(x))), "")[:1] if len(names) > 1 else ""
         given = self.exact(first) or (self.near(first) if len(first) > 1 else "")
         if not given and len(first) > 1:
             given = first
@@ -149,10 +160,12 @@ class NameParser:
 
     def _order(self, t: list[str]) -> tuple[str, list[str]]:
         """Surname and given tokens of a name without a comma."""
-        last = next((i for i in range(len(t) - 1, -1, -1) if len(t[i]) > 1), 0)  # before trailing initials
+        last = len(t) - 1
+        while last and len(t[last]) < 2:  # before trailing initials
+            last -= 1
         tail = len(t) - 1 - last
-        misspelt = len(t[0]) > 4 and bool(self.near(t[0]))
         if not self.exact(t[0]):
+            misspelt = len(t[0]) > 4 and bool(self.near(t[0]))
             if last and tail <= 1 and self.exact(t[last]) and not (misspelt and t[last] not in self.targets):
                 return "".join(t[:last]), t[last:]
             if len(t[0]) > 1:
@@ -175,13 +188,13 @@ def first_named(name: Column) -> Column:
 
 def _given_token(name: Column) -> Column:
     """The token where given names stand: the first, or the first after a comma; '' if it is no word."""
-    return F.regexp_extract(F.upper(name), r"^(?:[^,;&]*,\s*|\s*)([A-Z]{2,})(?=[\s.;&]|$)", 1)
+    return F.regexp_extract(F.upper(name), r"^(?:[^,;&]*+,\s*|\s*)([A-Z]{2,})(?=[\s.;&]|$)", 1)
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
     """Rows (t, k) of rows (name, state, allotment): the token where the given name stands, and a code of the number, state and other letters; null without a number or with three letters or fewer."""
     name = F.upper("name")
-    rest = F.regexp_replace(F.regexp_replace(name, r"^([^,;&]*,\s*|\s*)[A-Z]{2,}(?=[\s.;&]|$)", "$1 "), r"\b[A-Z]\b|[^A-Z]", "")
+    rest = F.regexp_replace(F.regexp_replace(name, r"^([^,;&]*+,\s*|\s*)[A-Z]{2,}(?=[\s.;&]|$)", "$1 "), r"\b[A-Z]\b|[^A-Z]+", "")
     named = rows.where(F.col("name").isNotNull()).select(_given_token(F.col("name")).alias("t"), "state", "allotment", F.when(F.col("allotment").isNotNull(), rest).alias("rest"))
     return named.select("t", F.when(F.length("rest") > 3, F.xxhash64("state", "allotment", "rest")).alias("k"))
 

@@ -275,6 +275,20 @@ def test_matching_is_the_same_in_slices_and_without_broadcasts(spark, rows, monk
     assert rows(matching.match(people("a"), people("b"), "a", "b")) == found and len(found) > len(typed) * 2
 
 
+def test_matching_lays_keys_out_once(spark, monkeypatch):
+    """The keys of all exact passes come from one reading of the groups, and a surname's own segments aren't sought a second time."""
+    calls, posted, joined, sought = [], [], matching._joined, matching.sought_keys
+    monkeypatch.setattr(matching, "_joined", lambda groups, rules: calls.append([r for r, *_ in rules]) or joined(groups, rules))
+    monkeypatch.setattr(matching, "sought_keys", lambda *a, **k: posted.append(sought(*a, **k)) or posted[-1])
+    got = matching.match(people(spark, "l", TYPOS[1:]), people(spark, "r", TYPOS[:1]), "l", "r").collect()
+    assert {r["left_id"] for r in got} == {2, 3}
+    assert calls == [["name", "number", "number_front", "number_back"]] and len(posted) == 1
+    df = spark.createDataFrame([(1, "LAMEBEARUTO", 5)], "g long, surname string, p long")
+    own = {r["k"] for r in matching.kept_keys(df, "surname", ["p"]).collect()}
+    all_, others = ([r["k"] for r in sought(df, "surname", ["p"], own=o).collect()] for o in (True, False))
+    assert len(own) == 3 and len(all_) == 12 and len(others) == 9 and set(all_) - own == set(others)
+
+
 def test_tribe_variants(spark):
     typed = ["PEEZEWINK", "THE PEEZEWINK TRIBE", "PEZEEWINK (ID)", "Peeze- wink", "UPPER DRUXIZAIN", "DRUXIZAIN, UPP.", "LOWER DRUXIZAIN", "SHOBAMEERK AND ZOZEYEP", "ZOZEYEP & SHOBAMERK", "UNKNOWN", "INDIAN", None, " ", "PEEZEWINK "]
     df = spark.createDataFrame(list(enumerate(typed)), "id int, name string").withColumn("node", F.lit(1))
